@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_texts
 from .common import read
+from .decontaminate import contaminations
 from .langid import identify
 from .line_dedup import dedup_lines
 from .ngram_join import link_documents
 from .token_counts import count_tokens
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "start_word", F.round("similarity", 6).alias("similarity"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +58,26 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM marked GROUP BY doc_id
 """
 
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+ds AS (SELECT doc_id, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) AS sh FROM d),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
+bs AS (SELECT item_id, len(ws) AS n, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) AS sh FROM b WHERE len(ws) >= 5),
+de AS (SELECT doc_id, unnest(sh) AS t, generate_subscripts(sh, 1) - 1 AS p FROM ds),
+be AS (SELECT item_id, n, unnest(list_distinct(sh)) AS t FROM bs),
+span AS (SELECT doc_id, item_id, n, min(p) AS lo, max(p) AS hi FROM de JOIN be USING (t) GROUP BY ALL),
+st AS (SELECT s.doc_id, item_id, s.n, unnest(range(greatest(0, lo - (s.n - 5)), least(hi, greatest(0, len(sh) - (s.n - 4))) + 1)) AS start_word FROM span s JOIN ds USING (doc_id)),
+win AS (SELECT st.doc_id, st.item_id, st.n, start_word, list_distinct(ds.sh[start_word + 1:start_word + st.n - 4]) AS w, list_distinct(bs.sh) AS i
+  FROM st JOIN ds USING (doc_id) JOIN bs USING (item_id)),
+scored AS (SELECT doc_id, item_id, n, start_word,
+  list_sum(list_transform(list_intersect(w, i), lambda x: 1 + len(list_filter(string_split(x, ' '), lambda y: length(y) >= 6)))) AS c,
+  list_sum(list_transform(w, lambda x: 1 + len(list_filter(string_split(x, ' '), lambda y: length(y) >= 6)))) AS a,
+  list_sum(list_transform(i, lambda x: 1 + len(list_filter(string_split(x, ' '), lambda y: length(y) >= 6)))) AS o FROM win),
+good AS (SELECT *, CAST(c AS DOUBLE) / CAST(a + o - c AS DOUBLE) AS sim FROM scored WHERE c * 100 >= (a + o - c) * 80)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(start_word AS INTEGER) AS start_word, round(sim, 6) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start_word) AS r FROM good) WHERE r = 1
+"""
+
 NGRAM_JOIN_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -67,6 +93,7 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_ngram_join": op8_ngram_join,
@@ -74,4 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_ngram_join": NGRAM_JOIN_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": DECONTAMINATION_SQL, "op8_ngram_join": NGRAM_JOIN_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
