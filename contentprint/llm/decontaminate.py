@@ -84,7 +84,7 @@ def block_index(items: DataFrame, radius: int, blocks: int) -> DataFrame:
         own = _part(F.col("item_fp"), first, bits)
         return F.transform(masks, lambda m: m.bitwiseXOR(own))
 
-    parts = [items.select("item", "n", "item_fp", F.lit(b).alias("block"), F.explode(values(first, bits)).alias("value")) for b, (first, bits) in enumerate(block_bounds(blocks))]
+    parts = [items.select("item", "n", "item_fp", F.lit(b).alias("block"), values(first, bits).alias("values")).select("item", "n", "item_fp", "block", F.explode_outer("values").alias("value")) for b, (first, bits) in enumerate(block_bounds(blocks))]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -107,21 +107,22 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: int = 80,
     together, a null doc_id as null; likewise item_id. Extra columns are ignored; empty tables give no pairs.
     """
     c = F.col
-    items = shingle_codes(only(benchmark, "item_id", "text"), "text").filter(F.size("codes") > 0)
+    items = cut(shingle_codes(only(benchmark, "item_id", "text"), "text").select("item_id", "codes")).filter(F.size("codes") > 0)
     items = items.select("item_id", "codes", (F.size("codes") + K - 1).alias("n"), F.xxhash64("codes").alias("item"))
     facts = items.agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("items"), F.sum(F.size("codes")).alias("shingles")).first()
     longest = facts["longest"] or K
     stride = 16 if longest * (K + 1) < 1 << 15 else 32
     small = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
-    wanted = small(items.select("n", F.explode("codes").alias("code")).distinct(), facts["shingles"] or 0)
+    wanted = small(items.select("n", F.explode_outer("codes").alias("code")).distinct(), facts["shingles"] or 0)
 
     # tiles: the codes of `step` window starts and of what their windows reach over
     step = max(TILE, longest)
     coded = shingle_codes(only(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text")), "text").drop("text")
     starts = F.when(F.size("codes") > 0, F.sequence(F.lit(0), F.floor((F.size("codes") - 1) / step).cast("int"))).otherwise(F.array().cast("array<int>"))
     tiles = F.transform(starts, lambda t: F.struct(t.alias("tile"), F.slice(c("codes"), t * step + 1, F.lit(step + longest - K)).alias("codes")))
-    tiled = coded.select("doc_id", "text_key", F.inline(tiles))
-    seeds = tiled.select("doc_id", "text_key", "tile", *([c("codes").alias("around")] if (facts["shingles"] or 0) <= broadcast_rows else []), F.posexplode("codes").alias("at", "code")).join(wanted, "code")
+    # the outer forms: for the others Spark infers filters on their input, for which it would work out the codes again and again
+    tiled = coded.select("doc_id", "text_key", tiles.alias("tiles")).select("doc_id", "text_key", F.inline_outer("tiles")).filter("tile IS NOT NULL")
+    seeds = tiled.select("doc_id", "text_key", "tile", *([c("codes").alias("around")] if (facts["shingles"] or 0) <= broadcast_rows else []), F.posexplode_outer("codes").alias("at", "code")).join(wanted, "code")
     spans = seeds.groupBy("doc_id", "text_key", "tile", "n").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), *([F.first("around").alias("around")] if "around" in seeds.columns else []))
     if "around" not in spans.columns:
         same = spans["doc_id"].eqNullSafe(tiled["doc_id"]) & spans["text_key"].eqNullSafe(tiled["text_key"]) & (spans["tile"] == tiled["tile"])
@@ -130,11 +131,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: int = 80,
     first = F.greatest(F.lit(0), c("lo") - reach)
     last = F.least(c("hi"), F.lit(step - 1), F.greatest(F.lit(0), F.size("around") - 1 - reach))
     spots = F.transform(F.sequence(first, last), lambda s: F.struct(s.alias("start"), F.slice(c("around"), s + 1, c("n") - K + 1).alias("codes")))
-    windows = spans.filter(first <= last).select("doc_id", "n", (c("tile") * step).alias("base"), F.inline(spots))
+    windows = spans.filter(first <= last).select("doc_id", "n", (c("tile") * step).alias("base"), spots.alias("spots")).select("doc_id", "n", "base", F.inline_outer("spots"))
     windows = cut(windows.select("doc_id", "n", (c("base") + c("start")).alias("start_word"), F.xxhash64("codes").alias("window"), "codes"))
 
-    distinct = simhash(windows.groupBy("n", "window").agg(F.first("codes").alias("codes")), "codes", stride)
-    own = simhash(items.groupBy("item", "n").agg(F.first("codes").alias("codes")), "codes", stride).withColumnRenamed("fp", "item_fp")
+    distinct = cut(simhash(windows.groupBy("n", "window").agg(F.first("codes").alias("codes")), "codes", stride))
+    own = cut(simhash(items.groupBy("item", "n").agg(F.first("codes").alias("codes")), "codes", stride).withColumnRenamed("fp", "item_fp"))
     per_item = sum(sum(_choose(bits, i) for i in range(radius // blocks + 1)) for _, bits in block_bounds(blocks))
     index = small(block_index(own, radius, blocks), facts["items"] * per_item)
     close = candidates(distinct, index, radius, blocks)

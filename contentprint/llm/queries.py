@@ -60,20 +60,22 @@ FROM marked GROUP BY doc_id
 
 DECONTAMINATION_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
-ds AS (SELECT doc_id, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) AS sh FROM d),
+dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d),
+de AS (SELECT doc_id, p, concat_ws(' ', w, w1, w2, w3, w4) AS t FROM (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2,
+  lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4 FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE w4 IS NOT NULL),
+dn AS (SELECT doc_id, count(*) AS m FROM de GROUP BY doc_id),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
-bs AS (SELECT item_id, len(ws) AS n, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) AS sh FROM b WHERE len(ws) >= 5),
-de AS (SELECT doc_id, unnest(sh) AS t, generate_subscripts(sh, 1) - 1 AS p FROM ds),
-be AS (SELECT item_id, n, unnest(list_distinct(sh)) AS t FROM bs),
+bw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM b),
+be AS (SELECT DISTINCT item_id, n, concat_ws(' ', w, w1, w2, w3, w4) AS t FROM (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2,
+  lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4 FROM bw WINDOW o AS (PARTITION BY item_id ORDER BY p)) WHERE w4 IS NOT NULL),
 span AS (SELECT doc_id, item_id, n, min(p) AS lo, max(p) AS hi FROM de JOIN be USING (t) GROUP BY ALL),
-st AS (SELECT s.doc_id, item_id, s.n, unnest(range(greatest(0, lo - (s.n - 5)), least(hi, greatest(0, len(sh) - (s.n - 4))) + 1)) AS start_word FROM span s JOIN ds USING (doc_id)),
-win AS (SELECT st.doc_id, st.item_id, st.n, start_word, list_distinct(ds.sh[start_word + 1:start_word + st.n - 4]) AS w, list_distinct(bs.sh) AS i
-  FROM st JOIN ds USING (doc_id) JOIN bs USING (item_id)),
-scored AS (SELECT doc_id, item_id, n, start_word,
-  list_sum(list_transform(list_intersect(w, i), lambda x: 1 + len(list_filter(string_split(x, ' '), lambda y: length(y) >= 6)))) AS c,
-  list_sum(list_transform(w, lambda x: 1 + len(list_filter(string_split(x, ' '), lambda y: length(y) >= 6)))) AS a,
-  list_sum(list_transform(i, lambda x: 1 + len(list_filter(string_split(x, ' '), lambda y: length(y) >= 6)))) AS o FROM win),
-good AS (SELECT *, CAST(c AS DOUBLE) / CAST(a + o - c AS DOUBLE) AS sim FROM scored WHERE c * 100 >= (a + o - c) * 80)
+st AS (SELECT s.doc_id, item_id, n, unnest(range(greatest(0, lo - (n - 5)), least(hi, greatest(0, m - (n - 4))) + 1)) AS start_word FROM span s JOIN dn USING (doc_id)),
+win AS (SELECT DISTINCT st.doc_id, item_id, n, start_word, t FROM st JOIN de ON de.doc_id = st.doc_id AND de.p BETWEEN start_word AND start_word + n - 5),
+wt AS (SELECT t, 1 + len(list_filter(string_split(t, ' '), lambda y: length(y) >= 6)) AS w FROM (SELECT t FROM win UNION SELECT t FROM be)),
+o AS (SELECT item_id, sum(w) AS o FROM be JOIN wt USING (t) GROUP BY item_id),
+scored AS (SELECT doc_id, win.item_id, win.n, start_word, sum(w) AS a, coalesce(sum(w) FILTER (WHERE be.t IS NOT NULL), 0) AS c
+  FROM win JOIN wt USING (t) LEFT JOIN be ON be.item_id = win.item_id AND be.t = win.t GROUP BY ALL),
+good AS (SELECT s.*, CAST(c AS DOUBLE) / CAST(a + o - c AS DOUBLE) AS sim FROM scored s JOIN o USING (item_id) WHERE c * 100 >= (a + o - c) * 80)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(start_word AS INTEGER) AS start_word, round(sim, 6) AS similarity
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start_word) AS r FROM good) WHERE r = 1
 """
@@ -81,15 +83,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DES
 NGRAM_JOIN_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS sh FROM w),
-e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (nx + ny - c)),
+u AS (SELECT doc_id, len(ws) AS m, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+q AS (SELECT doc_id, m, p, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o) AS t FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+t AS (SELECT DISTINCT doc_id, t FROM q WHERE p <= greatest(1, m - 3)),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
 l2 AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l2.y FROM r JOIN l2 ON r.reached = l2.x),
 m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
-SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN m USING (doc_id)
+SELECT m.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
