@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_texts
 from .common import read
+from .cotrain import score_quality
 from .decontaminate import contaminations
+from .fingerprints import compare_neighbours
+from .html_text import extract_text
 from .langid import identify
 from .line_dedup import dedup_lines
 from .ngram_join import link_documents
 from .token_counts import count_tokens
+from .warc import derive, responses
+
+
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = derive(responses(read(spark, sf_dir, "pages")))
+    return made.withColumn("text", F.when(F.col("warc_type") == "conversion", F.decode("block", "UTF-8"))).withColumn("block_sha256", F.sha2("block", 256)).drop("block")
+
+
+def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +40,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_neighbours(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -96,8 +117,12 @@ SELECT m.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_quality_cotraining": op2_quality_cotraining,
     "op3_decontamination": op3_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,

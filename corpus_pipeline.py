@@ -1,13 +1,75 @@
-"""The corpus pipeline: stages over documents, each from the text-preparation operators."""
+"""The corpus pipeline over documents: language ID, line dedup, near duplicates, benchmark decontamination, tokens."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contentprint.llm.byte_bpe import encode_texts
+from contentprint.llm.common import cut, read
+from contentprint.llm.decontaminate import decontaminate
+from contentprint.llm.langid import UNDETERMINED, held_out, predict, train
+from contentprint.llm.line_dedup import dedup_lines
+from contentprint.llm.ngram_join import link_documents
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents of a calibrated probability below this are in no known language.
+LEAST_SCORE = 0.5
+
+#: Language identification learns from the rows, which SQL can't express.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of no language that is likelier than all others together, go; the rest get the language found."""
+    model = train(docs.filter(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    found = predict(docs.select(*COLUMNS), model)
+    kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose their repeated lines; documents that have nothing else go."""
+    out = dedup_lines(docs.select(*COLUMNS), keep=("lang", "source", "n_chars"))
+    out = out.filter(F.length(F.trim("kept")) > 0)
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest doc_id stays."""
+    groups = link_documents(docs, k=5, num=80, den=100)
+    gone = cut(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    if gone.count() <= 1_000_000:
+        gone = F.broadcast(gone)
+    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that are left, as little-endian unsigned 32-bit integers, with their number."""
+    import public_tokenizers
+
+    out = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
     return docs
