@@ -17,11 +17,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, is_unique, only, sum_arrays
 
+#: Stands for a null doc_id.
+NULL_ID = -(2**63)
+
 SLICE = 1 << 16
 MOST_COUNTERS = 1 << 22
 MOST_BLOOM_BITS = 1 << 26
@@ -69,49 +72,60 @@ def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def _classes(k: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
-        for batch in batches:
-            sizes, nodes, checks = [], [], []
-            for raw in batch["text"].cast(pa.binary()).to_pylist():
-                s = shingler(raw)
-                sizes.append(len(s))
-                nodes.append(_signed(_node(s, seed)) if len(s) else None)
-                checks.append(_signed(_node(s, seed + 1_000_003)) if len(s) else None)
-            yield pa.record_batch({"doc_id": batch["doc_id"], "n": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "other": pa.array(checks, pa.int64())})
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Sizes of 64 equal ranges of the hash space; what two of them differ by is a lower bound for the symmetric difference."""
+    sizes = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=64)
+    return sizes.astype("<u2" if len(shingles) < 1 << 16 else "<u4").tobytes()
 
-    return run
+
+def _sizes(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, "<u2" if len(sketch) == 128 else "<u4").astype(np.int64)
 
 
-def _counters(k: int, bits: int):
+def _facts(k: int, seed: int, bits: int):
+    """A row for each document, and this task's counters, in one pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, mask = Shingler(k), np.uint64((1 << bits) - 1)
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            parts = [shingler(raw) for raw in batch["text"].cast(pa.binary()).to_pylist()]
-            if parts:
-                slots, n = np.unique(np.concatenate(parts) & mask, return_counts=True)
-                counts[slots.astype(np.int64)] += n
+            sizes, nodes, others, sketches, parts, held = [], [], [], [], [], 0
+            for raw in batch["text"].cast(pa.binary()).to_pylist():
+                s = shingler(raw)
+                parts.append(s)
+                held += len(s)
+                if held > 1 << 20:
+                    _count(counts, parts, mask)
+                    parts, held = [], 0
+                sizes.append(len(s))
+                nodes.append(_signed(_node(s, seed)) if len(s) else None)
+                others.append(_signed(_node(s, seed + 1_000_003)) if len(s) else None)
+                sketches.append(_sketch(s) if len(s) else None)
+            _count(counts, parts, mask)
+            none = len(sizes)
+            yield pa.record_batch({"doc_id": batch["doc_id"], "n": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64()), "other": pa.array(others, pa.int64()), "sketch": pa.array(sketches, pa.binary()), "slice": pa.nulls(none, pa.int32()), "part": pa.nulls(none, pa.int64()), "small": pa.nulls(none, pa.binary())})
         part = TaskContext.get().partitionId()
         for i in range(0, 1 << bits, SLICE):
-            if counts[i : i + SLICE].any():
+            if (own := counts[i : i + SLICE]).any():
                 # a task's counts are cut to a byte each: the order stays one order for all documents
-                small = np.minimum(counts[i : i + SLICE], 255).astype(np.uint8).tobytes()
-                yield pa.record_batch({"slice": pa.array([i // SLICE], pa.int32()), "part": pa.array([part], pa.int64()), "small": pa.array([small], pa.binary())})
+                small = np.minimum(own, 255).astype(np.uint8).tobytes()
+                yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "node": pa.nulls(1, pa.int64()), "other": pa.nulls(1, pa.int64()), "sketch": pa.nulls(1, pa.binary()), "slice": pa.array([i // SLICE], pa.int32()), "part": pa.array([part], pa.int64()), "small": pa.array([small], pa.binary())})
 
     return run
 
 
+def _count(counts: np.ndarray, parts: list[np.ndarray], mask: np.uint64) -> None:
+    for s in parts:
+        np.add.at(counts, (s & mask).astype(np.int64), 1)
+
+
 def _added_small(table: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(x, np.uint8) for x in table["small"].to_pylist()], axis=0, dtype=np.int64)
     return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def rarity(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """For each of 2^bits hash slots, a byte that grows with the number of shingles in it, over all documents."""
-    parts = docs.mapInArrow(_counters(k, bits), "slice int, part long, small binary")
-    n = docs.rdd.getNumPartitions()
+def rarity(parts: DataFrame, n: int, bits: int) -> np.ndarray:
+    """For each of 2^bits hash slots, a byte that grows with the number of shingles in it, over all documents. n: tasks that counted."""
     first = parts.withColumn("part", F.floor(F.col("part") / 64).cast("long")).groupBy("slice", "part").applyInArrow(_added_small, "slice int, part long, counts binary")
     counts = np.zeros(1 << bits, np.int64)
     for i, own in sum_arrays(first, -(-n // 64)).items():
@@ -153,68 +167,67 @@ def _bloom(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(bits, bool)
         for batch in batches:
-            for at in _slots(batch["node"].to_numpy().view(np.uint64), bits):
+            for at in _slots(batch["rep"].to_numpy().view(np.uint64), bits):
                 held[at] = True
         yield pa.record_batch({"held": pa.array([np.packbits(held).tobytes()], pa.binary())})
 
     return run
 
 
-def _slots(nodes: np.ndarray, bits: int) -> list[np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return [(nodes & mask).astype(np.int64), ((nodes >> np.uint64(32)) & mask).astype(np.int64)]
+def _slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    mask, mixed = np.uint64(bits - 1), _finish(ids)
+    return [(mixed & mask).astype(np.int64), ((mixed >> np.uint64(32)) & mask).astype(np.int64)]
 
 
 def _sets(k: int, seed: int, sent, bits: int):
+    """Sets of documents that may be wanted: most others aren't even split."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, seen = Shingler(k), np.unpackbits(np.frombuffer(sent.value, np.uint8), count=bits).astype(bool), set()
+        shingler, held = Shingler(k), np.unpackbits(np.frombuffer(sent.value, np.uint8), count=bits).astype(bool)
         for batch in batches:
+            ids = batch["doc_id"].fill_null(NULL_ID).to_numpy(zero_copy_only=False).view(np.uint64)
+            wanted = np.logical_and.reduce([held[at] for at in _slots(ids, bits)])
             nodes, sets = [], []
-            for raw in batch["text"].cast(pa.binary()).to_pylist():
-                s = shingler(raw)
-                if not len(s) or (node := _node(s, seed)) in seen:
-                    continue
-                if all(held[at[0]] for at in _slots(np.array([node], np.uint64), bits)):
-                    if len(seen) < REMEMBERED:
-                        seen.add(node)
-                    nodes.append(node)
+            for raw in batch["text"].filter(pa.array(wanted)).cast(pa.binary()).to_pylist():
+                if len(s := shingler(raw)):
+                    nodes.append(_signed(_node(s, seed)))
                     sets.append(s.tobytes())
-            yield pa.record_batch({"node": np.array(nodes, np.uint64).view(np.int64), "shingles": pa.array(sets, pa.binary())})
+            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "shingles": pa.array(sets, pa.binary())})
 
     return run
 
 
-def least_common(a: int, b: int, num: int, den: int) -> int:
-    """Common n-grams that sets of a and b n-grams need for num/den."""
-    return -(-num * (a + b) // (num + den))
-
-
-_RANGES = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60))
+def may_be_similar(a: bytes, b: bytes, num: int, den: int) -> bool:
+    """The suffix filter on two sketches: False only if the sets can't be similar."""
+    x, y = _sizes(a), _sizes(b)
+    both = int(x.sum() + y.sum())
+    return int(np.abs(x - y).sum()) <= both - 2 * -(-num * both // (num + den))
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """den * |a & b| >= num * |a | b|, for sorted distinct hashes; the suffix filter comes first."""
-    need = least_common(len(a), len(b), num, den)
-    if min(len(a), len(b)) < need:
-        return False
-    apart = np.abs(np.diff(np.searchsorted(a, _RANGES), prepend=0, append=len(a)) - np.diff(np.searchsorted(b, _RANGES), prepend=0, append=len(b))).sum()
-    if apart > len(a) + len(b) - 2 * need:
-        return False
+    """den * |a & b| >= num * |a | b|, for sorted distinct hashes."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     at = np.searchsorted(large, small)
     common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def _verified(num: int, den: int):
+def _kept(good):
+    """The pairs (a, b) for which good(sa, sb)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            kept = [good(x, y) for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
+def _joined(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
+    side = lambda x: of.select(F.col("node").alias(x), F.col(value).alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the nodes of the links (a, b). Each round hands every node to the least node next to it and contracts the graph.
 
@@ -246,48 +259,52 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     """
     spark, seed = docs.sparkSession, 0
     docs = only(docs, "doc_id", "text")
+    n_bytes = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bits = int(min(np.log2(MOST_COUNTERS), max(16, np.ceil(np.log2(max(1, n_bytes) / 64)))))
     while True:
-        rows = cut(docs.mapInArrow(_classes(k, seed), "doc_id long, n long, node long, other long"))
-        classes = rows.filter("n > 0").groupBy("node", "other").agg(F.min("doc_id").alias("rep"), F.sum("n").alias("n"))
-        if is_unique(classes, "node"):
+        facts = cut(docs.mapInArrow(_facts(k, seed, bits), "doc_id long, n long, node long, other long, sketch binary, slice int, part long, small binary"))
+        rows = facts.filter("slice IS NULL").select("doc_id", "n", "node", "other", "sketch")
+        classes = rows.filter("n > 0").groupBy("node", "other").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+        if is_unique(classes.select("node", "other").distinct(), "node"):
             break
         seed += 1  # two sets had one 64-bit name
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    bits = int(min(np.log2(MOST_COUNTERS), max(16, np.ceil(np.log2(max(1, total) / 64)))))
-    order = spark.sparkContext.broadcast(rarity(docs, k, bits).tobytes())
+    classes = cut(classes.select("node", "rep", "sketch"))
+    order = spark.sparkContext.broadcast(rarity(facts.filter("slice IS NOT NULL").select("slice", "part", "small"), docs.rdd.getNumPartitions(), bits).tobytes())
 
     bucket = Window.partitionBy("token")
     prefix = (
         docs.mapInArrow(_prefixes(k, seed, num, den, order, bits), "token long, node long, n int, pos int")
-        .repartition("token").groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+        .repartition("token").groupBy("token", "node").agg(F.min("n").cast("long").alias("n"), F.min("pos").cast("long").alias("pos"))
     )
     shared = cut(prefix.withColumns({"many": F.count(F.lit(1)).over(bucket), "first": F.min(F.struct("pos", "n", "node")).over(bucket)}).filter("many > 1").drop("many"))
 
-    fits = lambda na, pa_, nb, pb: (
-        (F.least(na, nb) * den >= F.greatest(na, nb) * num)
-        & ((1 + F.least(na - pa_, nb - pb) - 1) * (num + den) >= (na + nb) * num)
-    )
+    def fits(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+        length = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
+        return length & (F.least(n_a - pos_a, n_b - pos_b) * (num + den) >= (n_a + n_b) * num)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the candidate pairs that are links: suffix filter, then exact intersection of the sets, which are taken from the texts again."""
+        near = cut(_joined(pairs, classes, "sketch").mapInArrow(_kept(lambda x, y: may_be_similar(x, y, num, den)), "a long, b long"))
+        nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        reps = cut(nodes.join(classes, "node").select("node", F.coalesce("rep", F.lit(NULL_ID)).alias("rep")))
+        n_nodes = reps.count()
+        if not n_nodes:
+            return near
+        size = min(MOST_BLOOM_BITS, max(1 << 16, 1 << int(np.ceil(np.log2(16 * n_nodes)))))
+        held = np.zeros(size // 8, np.uint8)
+        for r in reps.repartition(8).mapInArrow(_bloom(size), "held binary").toLocalIterator():
+            held |= np.frombuffer(r["held"], np.uint8)
+        sets = docs.mapInArrow(_sets(k, seed, spark.sparkContext.broadcast(held.tobytes()), size), "node long, shingles binary")
+        sets = cut(sets.join(reps, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+        exact = lambda x, y: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)
+        return cut(_joined(near, sets, "shingles").mapInArrow(_kept(exact), "a long, b long"))
+
     c = F.col
-    shared = shared.withColumn("n", c("n").cast("long"))
     star = shared.filter(c("node") != c("first.node")).filter(fits(c("n"), c("pos"), c("first.n"), c("first.pos")))
-    star = star.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
-
-    nodes = shared.select("node").distinct()
-    n_nodes = nodes.count()
-    size = int(min(MOST_BLOOM_BITS, max(1 << 16, 1 << int(np.ceil(np.log2(16 * max(1, n_nodes)))))))
-    held = np.zeros(size // 8, np.uint8)
-    for r in nodes.repartition(8).mapInArrow(_bloom(size), "held binary").toLocalIterator():
-        held |= np.frombuffer(r["held"], np.uint8)
-    sets = docs.mapInArrow(_sets(k, seed, spark.sparkContext.broadcast(held.tobytes()), size), "node long, shingles binary")
-    sets = cut(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
-
-    side = lambda x: sets.select(c("node").alias(x), c("shingles").alias(f"s{x}"))
-    verified = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(num, den), "a long, b long")
-    links = cut(verified(star))
+    links = verified(star.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct())
     roots = components(links)
 
-    placed = shared.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = cut(placed)
+    placed = cut(shared.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     open_ = placed.join(mixed, "token", "left_semi")
     left, right = open_.select("token", *[c(x).alias(f"{x}_a") for x in ("node", "n", "pos", "root")]), open_.select("token", *[c(x).alias(f"{x}_b") for x in ("node", "n", "pos", "root")])
@@ -295,7 +312,7 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         left.join(right, "token").filter((c("node_a") < c("node_b")) & (c("root_a") != c("root_b")) & fits(c("n_a"), c("pos_a"), c("n_b"), c("pos_b")))
         .select(c("node_a").alias("a"), c("node_b").alias("b")).distinct()
     )
-    more = cut(verified(across))
+    more = verified(across)
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     return _result(rows, classes, roots)

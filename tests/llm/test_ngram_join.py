@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from contentprint.llm.ngram_join import Shingler, link_documents, similar
+from contentprint.llm.ngram_join import Shingler, _sketch, link_documents, may_be_similar, similar
 
 
 def words(text):
@@ -64,3 +64,4 @@ def test_exact_threshold():
     s = Shingler(1)
     a, b = s(b" ".join(b"x%d" % i for i in range(17))), s(b" ".join(b"x%d" % i for i in range(20)))
     assert similar(a, b, 85, 100) and not similar(a[:-1], b, 85, 100)
+    assert may_be_similar(_sketch(a), _sketch(b), 85, 100) and not may_be_similar(_sketch(a[:-1]), _sketch(b), 85, 100)
