@@ -170,8 +170,8 @@ def _ranged(docs: DataFrame) -> tuple[DataFrame, list[int]]:
     from pyspark.ml.feature import Bucketizer
 
     n_bytes = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = int(min(MOST_RANGES, max(256, n_bytes >> 17)))
-    points = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    n = int(min(MOST_RANGES, max(256, n_bytes >> 17), 1 + docs.count() // 4))
+    points = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
     splits = [-float("inf"), *sorted({float(p) for p in points}), float("inf")]
     keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7e308)))
     placed = Bucketizer(splits=splits, inputCol="key", outputCol="bucket").transform(keyed).drop("key").withColumn("bucket", F.col("bucket").cast("int"))
