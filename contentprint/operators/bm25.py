@@ -20,7 +20,7 @@ def tokenized(records: DataFrame) -> DataFrame:
 
 
 def term_frequencies(records: DataFrame) -> DataFrame:
-    words = tokenized(records).select("tenant_id", "record_id", F.explode("words").alias("term"))
+    words = tokenized(records).select("tenant_id", "record_id", F.explode_outer("words").alias("term")).filter("term IS NOT NULL")
     return words.groupBy("tenant_id", "record_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -52,7 +52,7 @@ def contributions(records: DataFrame, queries: DataFrame) -> DataFrame:
     wanted = terms.select("tenant_id", "term").distinct()
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     held = tokenized(records)
-    hits = held.select("tenant_id", "record_id", "dl", F.explode("words").alias("term"))
+    hits = held.select("tenant_id", "record_id", "dl", F.explode_outer("words").alias("term"))
     hits = hits.join(F.broadcast(wanted) if few else wanted, ["tenant_id", "term"])
     tf = hits.groupBy("tenant_id", "record_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("n"))

@@ -21,7 +21,10 @@ def _hex(digest: Column, first: int, n: int) -> Column:
 
 def shingle_rows(records: DataFrame, k: int = WORDS) -> DataFrame:
     """record_id, shingle: the distinct shingles of each text."""
-    return records.select("record_id", F.explode(F.array_distinct(shingles(tokens(F.col("text")), k))).alias("shingle"))
+    words = records.select("record_id", tokens(F.col("text")).alias("words"))
+    runs = words.select("record_id", shingles(F.col("words"), k).alias("runs"))
+    # the outer form: for the other Spark infers a filter on the array, for which it would be made twice
+    return runs.select("record_id", F.explode_outer(F.array_distinct("runs")).alias("shingle")).filter("shingle IS NOT NULL")
 
 
 def minhash(records: DataFrame, k: int = WORDS, slots: int = SLOTS) -> DataFrame:
@@ -67,7 +70,7 @@ def simhash(records: DataFrame, idf: DataFrame | None = None) -> DataFrame:
 
     Weights are term frequencies, times idf (term, idf) where given; terms it lacks weigh nothing. One aggregate of 64 sums.
     """
-    words = records.select("record_id", F.explode(tokens(F.col("text"))).alias("term"))
+    words = records.select("record_id", F.explode_outer(tokens(F.col("text"))).alias("term")).filter("term IS NOT NULL")
     tf = words.groupBy("record_id", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
     if idf is not None:
         tf = tf.join(idf, "term").select("record_id", "term", (F.col("w") * F.col("idf")).alias("w"))
