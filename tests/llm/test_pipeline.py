@@ -25,7 +25,7 @@ def corpus():
         rows[i][1] += " " + item
     for i in range(10, 16):
         rows[i][1] += "\nThis very common footer line is on many pages"
-    rows[20][1], rows[21][1] = rows[22][1], rows[22][1] + " end"
+    rows[21][1] = rows[22][1] + " end"
     rows += [[200, "12345 !!", None], [201, None, "en"], [202, "", None]]
     return [(d, t, lang, "s", len(t or "")) for d, t, lang in rows], [(0, item)]
 
@@ -47,7 +47,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     near = C.near_duplicates(spark, lines, d)
     stay = {c for _, _, c in groups_of(sorted(want.items()), 5, 80, 100)}
-    assert {r.doc_id for r in near.collect()} == stay and not {21, 22} & stay and 20 in stay
+    assert {r.doc_id for r in near.collect()} == stay and 22 not in stay and 21 in stay
 
     clean = C.benchmark_decontamination(spark, near, d)
     assert {r.doc_id for r in clean.collect()} == stay - {3, 50} and tuple(clean.columns) == names
