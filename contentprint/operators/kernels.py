@@ -206,3 +206,26 @@ def embed(records: DataFrame, provider: EmbeddingProvider, column: str = "text")
         return pd.Series(list(vectors.astype(np.float32)))
 
     return records.withColumn("embedding", run(column)).withColumn("model_id", F.lit(provider.model_id))
+
+
+class Shingles:
+    """SQL table function shingles(text, k): position, shingle."""
+
+    def eval(self, text: str, k: int):
+        tokens = tokenizer("word")(canonical(text or ""))
+        for i in range(max(1, len(tokens) - k + 1) if tokens else 0):
+            yield i, " ".join(tokens[i : i + k])
+
+
+class LshBands:
+    """SQL table function lsh_bands(fingerprint, bands, rows): band, bucket."""
+
+    def eval(self, fingerprint: bytes, n_bands: int, rows: int):
+        slots = unpack(bytes(fingerprint))
+        for b in range(n_bands):
+            yield b, xxhash.xxh3_128_hexdigest(slots[b * rows : (b + 1) * rows].tobytes())
+
+
+def register_tables(spark) -> None:
+    spark.udtf.register("shingles", F.udtf(Shingles, returnType="position int, shingle string"))
+    spark.udtf.register("lsh_bands", F.udtf(LshBands, returnType="band int, bucket string"))

@@ -68,6 +68,14 @@ def test_sql_functions(spark):
     assert tuple(row) == ("abc", ["a", "b"], 1032, None)
 
 
+def test_sql_table_functions(spark):
+    kernels.register(spark)
+    kernels.register_tables(spark)
+    rows = spark.sql("SELECT * FROM shingles('a b c', 2)").collect()
+    assert [tuple(r) for r in rows] == [(0, "a b"), (1, "b c")]
+    assert spark.sql("SELECT count(DISTINCT bucket) AS n FROM lsh_bands(fp_minhash('a b c d e f g'), 16, 8)").collect()[0].n == 16
+
+
 def ramp(n=64, shift=0):
     y, x = np.mgrid[0:n, 0:n]
     return np.stack([(x + shift) % 256, y % 256, np.full_like(x, 128)], axis=2).astype(np.uint8)
