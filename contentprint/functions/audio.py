@@ -120,13 +120,12 @@ def _rate(name: str, rate: int) -> None:
 
 
 def bit_error_rate(a: np.ndarray, b: np.ndarray, window: int = 256) -> float:
-    """The least share of different bits over the alignments of the shorter sequence's first window."""
-    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
-    n = min(window, len(short))
+    """The least share of different bits of the first window of either sequence along the other. A window is half of the shorter sequence at most."""
+    n = min(window, (min(len(a), len(b)) + 1) // 2)
     if not n:
         return 1.0
-    views = np.lib.stride_tricks.sliding_window_view(long_, n)
-    return float(np.bitwise_count(views ^ short[:n]).sum(axis=1).min() / (32 * n))
+    along = lambda x, y: np.bitwise_count(np.lib.stride_tricks.sliding_window_view(y, n) ^ x[:n]).sum(axis=1).min()
+    return float(min(along(a, b), along(b, a)) / (32 * n))
 
 
 def envelope(samples: np.ndarray, buckets: int = 256) -> np.ndarray:

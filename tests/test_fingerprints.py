@@ -127,6 +127,8 @@ def test_audio(spark):
     assert best.get((1, 3), (0, 0))[0] < 0.2 * best[1, 1][0]
     words = audio.haitsma(chirp, 8000)
     noisy = audio.haitsma(chirp + 0.001 * np.random.default_rng(0).normal(size=len(chirp)), 8000)
+    later = audio.haitsma(np.concatenate([np.zeros(2048), chirp])[: len(chirp)], 8000)
+    assert audio.bit_error_rate(words, later) < 0.2 < audio.bit_error_rate(words, audio.haitsma(sine(3, f=1234), 8000))
     assert audio.bit_error_rate(words, words) == 0 and audio.bit_error_rate(words, noisy) < 0.25
     assert len(audio.envelope(chirp)) == 256 and len(audio.panako(chirp)) > 0
     with pytest.raises(BadInputError):
