@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import only, parts
 
 UNSAFE = re.compile(r"\s[ \n]")
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 LEAF_CHARS = 8192
-CACHED = 400_000
+CACHED = 150_000
 
 
 class Words(dict):
@@ -116,30 +116,30 @@ class ByteBPE:
         return self._concat(ids, lo, mid) + self._concat(ids, mid, hi)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, leaf_chars: int = LEAF_CHARS, digests: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, then ids (binary, little-endian unsigned 32-bit) and decoded (binary).
+def encode_texts(docs: DataFrame, path: str, pattern: str, leaf_chars: int = LEAF_CHARS, digests: bool = False, decoded: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, then ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded (binary).
 
     With digests, the lowercase hex SHA-256 of either instead: ids_sha256, decoded_sha256. Texts are encoded whole, without
     special tokens; null counts as empty: no tokens. Ids can be repeated or null and are passed on. Extra columns are ignored;
     an empty table gives an empty result. path: a rank file on every executor.
     """
-    outs = ("ids_sha256 string", "decoded_sha256 string") if digests else ("ids binary", "decoded binary")
+    outs = (["ids_sha256 string", "decoded_sha256 string"] if digests else ["ids binary", "decoded binary"])[: 2 if decoded else 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path, pattern, leaf_chars)
-        for batch in batches:
-            counts, first, second = [], [], []
+        kind = pa.string() if digests else pa.binary()
+        shown = (lambda raw: hashlib.sha256(raw).hexdigest()) if digests else (lambda raw: raw)
+        for batch in parts(batches, "text"):
+            counts, made = [], [[] for _ in outs]
             for text in batch["text"].to_pylist():
                 ids = bpe.encode(text or "")
-                decoded = bpe.decode(ids)
                 counts.append(len(ids) // 4)
-                first.append(hashlib.sha256(ids).hexdigest() if digests else ids)
-                second.append(hashlib.sha256(decoded).hexdigest() if digests else decoded)
-            kind = pa.string() if digests else pa.binary()
-            names = [x.split()[0] for x in outs]
-            yield pa.record_batch({"doc_id": batch["doc_id"], "n_tokens": pa.array(counts, pa.int64()), names[0]: pa.array(first, kind), names[1]: pa.array(second, kind)})
+                made[0].append(shown(ids))
+                if decoded:
+                    made[1].append(shown(bpe.decode(ids)))
+            yield pa.record_batch({"doc_id": batch["doc_id"], "n_tokens": pa.array(counts, pa.int64()), **{name.split()[0]: pa.array(own, kind) for name, own in zip(outs, made, strict=True)}})
 
-    return only(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, {outs[0]}, {outs[1]}")
+    return only(docs, "doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", "n_tokens long", *outs]))
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, in slices of about `most_bytes` of a text or binary column, so that a task's Python side holds little at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes, dtype=np.int64) // most_bytes
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def is_unique(df: DataFrame, column: str) -> bool:
     return df.groupBy(column).count().filter("count > 1").limit(1).count() == 0
 
@@ -56,13 +69,20 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def sum_arrays(df: DataFrame, n_parts: int, fan_in: int = 64) -> dict[int, np.ndarray]:
+def sum_arrays(df: DataFrame, n_parts: int, fan_in: int = 64, code=None) -> dict[int, np.ndarray]:
     """Sums of (slice int, part long, counts binary of int64) by slice, added up a tree of at most fan_in arrays a task.
 
-    The arrays have a fixed length; it and the number of slices bound what reaches the driver.
+    The arrays have a fixed length; it and the number of slices bound what reaches the driver. code: what the executors turn each sum into, an array of bytes.
     """
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"slice": batch["slice"], "counts": pa.array([code(np.frombuffer(x, "<i8")).tobytes() for x in batch["counts"].to_pylist()], pa.binary())})
+
     while True:
         df = df.withColumn("part", F.floor(F.col("part") / fan_in).cast("long")).groupBy("slice", "part").applyInArrow(_added, "slice int, part long, counts binary")
         n_parts = -(-n_parts // fan_in)
+        if n_parts <= 1 and code:
+            return {r["slice"]: np.frombuffer(r["counts"], np.uint8) for r in df.select("slice", "counts").mapInArrow(coded, "slice int, counts binary").collect()}
         if n_parts <= 1:
             return {r["slice"]: np.frombuffer(r["counts"], "<i8") for r in df.collect()}

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, sum_arrays
+from .common import only, parts, sum_arrays
 
 UNDETERMINED = "und"
 
@@ -127,7 +127,7 @@ class Model:
 def _frequencies(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(s.slots, np.int64)
-        for batch in batches:
+        for batch in parts(batches, "text"):
             for text in batch["text"].to_pylist():
                 df[features(text, s)[0]] += 1
         yield pa.record_batch({"slice": pa.array([0], pa.int32()), "part": pa.array([TaskContext.get().partitionId()], pa.int64()), "counts": pa.array([df.tobytes()], pa.binary())})
@@ -137,7 +137,7 @@ def _frequencies(s: Settings):
 
 def _samples(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             both = [features(text, s) for text in batch["text"].to_pylist()]
             yield pa.record_batch({"lang": batch["lang"], "draw": batch["draw"], "at": pa.array([a.astype("<u4").tobytes() for a, _ in both], pa.binary()), "n": pa.array([b.astype("<u4").tobytes() for _, b in both], pa.binary())})
 
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in parts(batches, "text"):
             found = [own.predict(text) for text in batch["text"].to_pylist()]
             yield pa.record_batch({**{c: batch[c] for c in names}, "lang_pred": pa.array([a for a, _ in found], pa.string()), "score": pa.array([b for _, b in found], pa.float64())})
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, is_unique, only
+from .common import cut, is_unique, only, parts
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: A null doc_id counts as one document that comes before all others.
@@ -136,7 +136,7 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _line_hashes(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             keys: list[bytes] = []
             sizes = []
             for raw in batch["text"].cast(pa.binary()).to_pylist():
@@ -179,7 +179,7 @@ def _drop(mark, least: int):
     """mark(h1, h2, row of each, batch) says which lines go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             texts = [(raw or b"").split(b"\n") for raw in batch["text"].cast(pa.binary()).to_pylist()]
             rows, places, keys = [], [], []
             for i, lines in enumerate(texts):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, is_unique, only, sum_arrays
+from .common import cut, is_unique, only, parts as slices, sum_arrays
 
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
@@ -28,7 +28,7 @@ NULL_ID = -(2**63)
 SLICE = 1 << 16
 MOST_COUNTERS = 1 << 22
 MOST_BLOOM_BITS = 1 << 26
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,7 +88,7 @@ def _facts(k: int, seed: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, mask = Shingler(k), np.uint64((1 << bits) - 1)
         counts = np.zeros(1 << bits, np.int32)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             sizes, nodes, others, sketches, parts, held = [], [], [], [], [], 0
             for raw in batch["text"].cast(pa.binary()).to_pylist():
                 s = shingler(raw)
@@ -127,16 +127,16 @@ def _added_small(table: pa.Table) -> pa.Table:
 def rarity(parts: DataFrame, n: int, bits: int) -> np.ndarray:
     """For each of 2^bits hash slots, a byte that grows with the number of shingles in it, over all documents. n: tasks that counted."""
     first = parts.withColumn("part", F.floor(F.col("part") / 64).cast("long")).groupBy("slice", "part").applyInArrow(_added_small, "slice int, part long, counts binary")
-    counts = np.zeros(1 << bits, np.int64)
-    for i, own in sum_arrays(first, -(-n // 64)).items():
-        counts[i * SLICE : i * SLICE + len(own)] = own
-    return np.floor(2 * np.log2(counts + 1)).astype(np.uint8)
+    out = np.zeros(1 << bits, np.uint8)
+    for i, own in sum_arrays(first, -(-n // 64), code=lambda counts: np.floor(2 * np.log2(counts + 1)).astype(np.uint8)).items():
+        out[i * SLICE : i * SLICE + len(own)] = own
+    return out
 
 
 def _prefixes(k: int, seed: int, num: int, den: int, sent, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, order, mask, seen = Shingler(k), np.frombuffer(sent.value, np.uint8), np.uint64((1 << bits) - 1), set()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             tokens, nodes, sizes, lengths = [], [], [], []
             for raw in batch["text"].cast(pa.binary()).to_pylist():
                 s = shingler(raw)
@@ -184,7 +184,7 @@ def _sets(k: int, seed: int, sent, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held = Shingler(k), np.unpackbits(np.frombuffer(sent.value, np.uint8), count=bits).astype(bool)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids = batch["doc_id"].fill_null(NULL_ID).to_numpy(zero_copy_only=False).view(np.uint64)
             wanted = np.logical_and.reduce([held[at] for at in _slots(ids, bits)])
             nodes, sets = [], []

@@ -53,8 +53,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left, as little-endian unsigned 32-bit integers, with their number."""
     import public_tokenizers
 
-    out = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.select("doc_id", "n_tokens", "ids")
+    return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=False)
 
 
 STAGES = [
