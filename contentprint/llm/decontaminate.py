@@ -125,8 +125,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: int = 80,
     seeds = tiled.select("doc_id", "text_key", "tile", *([c("codes").alias("around")] if (facts["shingles"] or 0) <= broadcast_rows else []), F.posexplode_outer("codes").alias("at", "code")).join(wanted, "code")
     spans = seeds.groupBy("doc_id", "text_key", "tile", "n").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), *([F.first("around").alias("around")] if "around" in seeds.columns else []))
     if "around" not in spans.columns:
-        same = spans["doc_id"].eqNullSafe(tiled["doc_id"]) & spans["text_key"].eqNullSafe(tiled["text_key"]) & (spans["tile"] == tiled["tile"])
-        spans = spans.join(tiled.dropDuplicates(["doc_id", "text_key", "tile"]), same).select(spans["doc_id"], spans["tile"], "n", "lo", "hi", tiled["codes"].alias("around"))
+        held = tiled.dropDuplicates(["doc_id", "text_key", "tile"]).toDF("held_doc", "held_key", "held_tile", "around")
+        same = c("doc_id").eqNullSafe(c("held_doc")) & c("text_key").eqNullSafe(c("held_key")) & (c("tile") == c("held_tile"))
+        spans = spans.join(held, same).select("doc_id", "tile", "n", "lo", "hi", "around")
     reach = c("n") - K
     first = F.greatest(F.lit(0), c("lo") - reach)
     last = F.least(c("hi"), F.lit(step - 1), F.greatest(F.lit(0), F.size("around") - 1 - reach))
