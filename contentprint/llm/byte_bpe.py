@@ -116,28 +116,28 @@ class ByteBPE:
         return self._concat(ids, lo, mid) + self._concat(ids, mid, hi)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, leaf_chars: int = LEAF_CHARS, digests: bool = False, decoded: bool = True) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, then ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded (binary).
+def encode_texts(docs: DataFrame, path: str, pattern: str, leaf_chars: int = LEAF_CHARS, digests: bool | tuple[str, ...] = False) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, then ids (binary, little-endian unsigned 32-bit) and decoded (binary).
 
-    With digests, the lowercase hex SHA-256 of either instead: ids_sha256, decoded_sha256. Texts are encoded whole, without
+    With digests, the lowercase hex SHA-256 of either instead: ids_sha256, decoded_sha256; a tuple names those that are given so. Every text is decoded. Texts are encoded whole, without
     special tokens; null counts as empty: no tokens. Ids can be repeated or null and are passed on. Extra columns are ignored;
     an empty table gives an empty result. path: a rank file on every executor.
     """
-    outs = (["ids_sha256 string", "decoded_sha256 string"] if digests else ["ids binary", "decoded binary"])[: 2 if decoded else 1]
+    hashed = ("ids", "decoded") if digests is True else digests or ()
+    outs = [f"{x}_sha256 string" if x in hashed else f"{x} binary" for x in ("ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path, pattern, leaf_chars)
-        kind = pa.string() if digests else pa.binary()
-        shown = (lambda raw: hashlib.sha256(raw).hexdigest()) if digests else (lambda raw: raw)
+        shown = [(lambda raw: hashlib.sha256(raw).hexdigest()) if x in hashed else (lambda raw: raw) for x in ("ids", "decoded")]
+        kinds = [pa.string() if x in hashed else pa.binary() for x in ("ids", "decoded")]
         for batch in parts(batches, "text"):
             counts, made = [], [[] for _ in outs]
             for text in batch["text"].to_pylist():
                 ids = bpe.encode(text or "")
                 counts.append(len(ids) // 4)
-                made[0].append(shown(ids))
-                if decoded:
-                    made[1].append(shown(bpe.decode(ids)))
-            yield pa.record_batch({"doc_id": batch["doc_id"], "n_tokens": pa.array(counts, pa.int64()), **{name.split()[0]: pa.array(own, kind) for name, own in zip(outs, made, strict=True)}})
+                made[0].append(shown[0](ids))
+                made[1].append(shown[1](bpe.decode(ids)))
+            yield pa.record_batch({"doc_id": batch["doc_id"], "n_tokens": pa.array(counts, pa.int64()), **{name.split()[0]: pa.array(own, kind) for name, own, kind in zip(outs, made, kinds, strict=True)}})
 
     return only(docs, "doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", "n_tokens long", *outs]))
 

@@ -50,10 +50,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents that are left, as little-endian unsigned 32-bit integers, with their number."""
+    """Token ids of the documents that are left, as little-endian unsigned 32-bit integers, with their number and the SHA-256 of what they decode to."""
     import public_tokenizers
 
-    return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=False)
+    return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=("decoded",))
 
 
 STAGES = [

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -58,6 +59,12 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(bpe.decode(ids).decode() == want[i] for i, ids in got.items())
 
 
+def test_token_stage_decodes_every_text(spark):
+    texts = {1: "plain text\nof two lines", 2: "été 東京 👍🏽 \t  end ", 3: "", 4: "a" * 5000}
+    rows = C.tokens(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
+    assert {r.doc_id: r.decoded_sha256 for r in rows} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
 def test_stage_list():
     assert [name for name, _ in C.STAGES] == ["language_id", "line_dedup", "near_duplicates", "benchmark_decontamination", "tokens"]
     assert len(Shingler(5)(b"a b c d e f")) == 2 and np.all(np.diff(Shingler(1)(b"a b c").astype(float)) > 0)
