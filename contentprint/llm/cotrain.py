@@ -1,8 +1,8 @@
 """Co-training of a quality classifier on two views of a document.
 
 The text view sees what is written (hashed words and surface ratios); the metadata view sees where it comes from and how large it is. Each is fitted on a
-bounded sample of labelled documents. In every round each view names the unlabelled documents (of a bounded pool) that it is surest of, and the other
-learns them with these labels. Held-out labelled documents calibrate each view and weigh the two; the result scores all documents.
+bounded sample of labelled documents. In every round each view scores all unlabelled documents on the executors and names those that it is surest of, and the
+other learns them with these labels. Held-out labelled documents calibrate each view and weigh the two; the result scores all documents.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import cut, only, parts
 
 
 @dataclass(frozen=True)
 class Settings:
-    """labelled_docs and pool_docs bound what is fitted on; everything else is per document. confident: least calibrated probability of a pseudo-label."""
+    """labelled_docs, and per_round for a round, view and label, bound what is fitted on. confident: least calibrated probability of a pseudo-label.
+
+    pool_docs is accepted and not read: there is no pool, all unlabelled documents can get a pseudo-label.
+    """
 
     labelled_docs: int = 6000
     pool_docs: int = 6000
@@ -138,59 +141,108 @@ class Model:
     shares: tuple[float, float]
     settings: Settings
 
-    def score(self, text, lang, source, n_chars, slots: _Slots) -> tuple[float, float, float]:
-        """Calibrated probabilities of quality 1: by text, by metadata, by both."""
-        a = self.text.margin(*text_features(text, slots))
-        b = self.meta.margin(*meta_features(lang, source, n_chars, self.settings.meta_slots))
-        return float(sigmoid(a)), float(sigmoid(b)), float(sigmoid(self.shares[0] * a + self.shares[1] * b))
+
+def _unpacked(packed: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), kind)
+
+
+def _raw(w: np.ndarray, at: list[bytes], x: list[bytes] | None = None) -> np.ndarray:
+    """What View.raw gives, for packed rows; each has a feature at least."""
+    terms = w[_unpacked(at, "<u4")]
+    if x is not None:
+        terms = terms * _unpacked(x, "<f4")
+    return np.add.reduceat(terms, np.cumsum([0, *(len(a) // 4 for a in at[:-1])])) + w[-1]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list, list]:
-    """(labelled, pool): at most the bounded numbers of documents, drawn by a hash of the id."""
-    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left")
-    draw = F.xxhash64(F.lit(29), "doc_id")
-    labelled = ids.filter("quality IS NOT NULL").orderBy(draw, "doc_id").limit(s.labelled_docs).collect()
-    pool = ids.filter("quality IS NULL").orderBy(draw, "doc_id").limit(s.pool_docs).collect()
-    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in [*labelled, *pool]], "doc_id long, quality int")
-    rows = docs.join(F.broadcast(wanted), "doc_id")  # the bounds above are the bound of this side
+def _margins(views: list[View], batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of the two views for rows of features()."""
+    raws = _raw(views[0].w, batch["at"].to_pylist(), batch["x"].to_pylist()), _raw(views[1].w, batch["meta"].to_pylist())
+    return tuple(v.a * r + v.b for v, r in zip(views, raws, strict=True))
+
+
+FEATURES = "doc_id long, key long, at binary, x binary, meta binary"
+
+
+def features(docs: DataFrame, s: Settings) -> DataFrame:
+    """One row per document: doc_id, key (a hash of the row), and packed the slots and values of the text view and the slots of the metadata view."""
+    keyed = docs.select("doc_id", F.xxhash64(F.lit(29), "doc_id", "text", "lang", "source", "n_chars").alias("key"), "text", "lang", "source", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots(s.slots)
-        for batch in batches:
+        for batch in parts(batches, "text"):
             both = [text_features(x, slots) for x in batch["text"].to_pylist()]
-            yield pa.record_batch({**{c: batch[c] for c in ("doc_id", "quality", "lang", "source", "n_chars")}, "at": pa.array([a.astype("<u4").tobytes() for a, _ in both], pa.binary()), "x": pa.array([x.astype("<f4").tobytes() for _, x in both], pa.binary())})
+            meta = [meta_features(*row, s.meta_slots)[0] for row in zip(*[batch[c].to_pylist() for c in ("lang", "source", "n_chars")], strict=True)]
+            own = ("at", [a.astype("<u4").tobytes() for a, _ in both]), ("x", [x.astype("<f4").tobytes() for _, x in both]), ("meta", [m.astype("<u4").tobytes() for m in meta])
+            yield pa.record_batch({"doc_id": batch["doc_id"], "key": batch["key"], **{name: pa.array(rows, pa.binary()) for name, rows in own}})
+
+    return keyed.mapInArrow(run, FEATURES)
 
-    schema = "doc_id long, quality int, lang string, source string, n_chars long, at binary, x binary"
-    found = {r["doc_id"]: r for r in rows.select("doc_id", "quality", "lang", "source", "n_chars", "text").mapInArrow(run, schema).toLocalIterator()}
-    data = [(r["quality"], (np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)), meta_features(r["lang"], r["source"], r["n_chars"], s.meta_slots)) for _, r in sorted(found.items())]
-    return [d for d in data if d[0] is not None], [d for d in data if d[0] is None]
 
+def _pair(r) -> tuple:
+    meta = np.frombuffer(r["meta"], "<u4").astype(np.int64)
+    return (np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)), (meta, np.ones(len(meta)))
 
-def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
-    """None if there isn't a document of either label."""
-    labelled, pool = _sample(docs, labels, s)
+
+def _labelled(made: DataFrame, known: DataFrame, s: Settings) -> list:
+    """(quality, features of the two views): at most the bounded number of labelled documents, drawn by a hash of the id."""
+    ids = made.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(known, "doc_id")
+    drawn = ids.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(s.labelled_docs).collect()
+    wanted = made.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in drawn], "doc_id long, quality int")
+    rows = made.join(F.broadcast(wanted), "doc_id")  # the bound above is the bound of this side
+    found = {r["doc_id"]: r for r in rows.toLocalIterator()}
+    return [(r["quality"], *_pair(r)) for _, r in sorted(found.items())]
+
+
+def _sure(made: DataFrame, known: DataFrame, views: list[View], taught: list[dict], s: Settings) -> list[dict]:
+    """For each view the documents it is surest of, {ident: (label, features)}: of all unlabelled ones, per_round at most a label, less those the other view has.
+
+    Equally sure ones go by a hash of the row, so that no source is preferred. ident: doc_id, or key where that is null.
+    """
+    sent = made.sparkSession.sparkContext.broadcast((views, s.confident))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, least = sent.value
+        for batch in parts(batches, "x"):
+            p = [np.round(sigmoid(m), 12) for m in _margins(own, batch)]
+            hit = pa.array(np.any([(x >= least) | (1 - x >= least) for x in p], axis=0))
+            yield pa.record_batch({"doc_id": batch["doc_id"], "key": batch["key"], "p0": pa.array(p[0]), "p1": pa.array(p[1])}).filter(hit)
+
+    found = made.mapInArrow(run, "doc_id long, key long, p0 double, p1 double").join(known.select("doc_id"), "doc_id", "left_anti")
+    scored = cut(found.select(F.coalesce("doc_id", "key").alias("ident"), "key", "p0", "p1"))
+    picks = []  # (view, label, ident, key)
+    for v in (0, 1):
+        used = made.sparkSession.createDataFrame([(i,) for i in taught[1 - v]], "ident long")
+        fresh = scored.join(F.broadcast(used), "ident", "left_anti")
+        for y, sure in ((1, F.col(f"p{v}")), (0, 1 - F.col(f"p{v}"))):
+            best = fresh.select("ident", "key", sure.alias("sure")).filter(F.col("sure") >= s.confident)
+            best = best.groupBy("ident").agg(F.max(F.struct("sure", "key")).alias("b")).orderBy(F.desc("b"), "ident").limit(s.per_round)
+            picks += [(v, y, r["ident"], r["b"]["key"]) for r in best.collect()]
+    wanted = made.sparkSession.createDataFrame([(k,) for k in {p[3] for p in picks}], "key long")
+    rows = {r["key"]: _pair(r) for r in made.join(F.broadcast(wanted), "key").dropDuplicates(["key"]).collect()}
+    return [{i: (y, rows[k]) for w, y, i, k in picks if w == v} for v in (0, 1)]
+
+
+def train(made: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
+    """The model of features() and labels; None if there isn't a document of either label."""
+    judged = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    labelled = _labelled(made, judged, s)
     rng = np.random.default_rng(3)
     order = rng.permutation(len(labelled))
     held, known = [labelled[i] for i in order[: len(order) // 5]], [labelled[i] for i in order[len(order) // 5 :]]
     if len({d[0] for d in known}) < 2:
         return None
     views = [View(s.slots + 16, s), View(s.meta_slots, s)]
-    taught: list[list[tuple[int, int]]] = [[], []]  # (pool row, label) that the other view gave
+    taught: list[dict] = [{}, {}]  # ident: (label, features) that the other view gave
     losses = [1.0, 1.0]
     for turn in range(s.rounds + 1):
         for v, view in enumerate(views):
-            rows = [d[1 + v] for d in known] + [pool[i][1 + v] for i, _ in taught[v]]
-            view.fit(rows, [d[0] for d in known] + [y for _, y in taught[v]])
+            rows = [d[1 + v] for d in known] + [pair[v] for _, pair in taught[v].values()]
+            view.fit(rows, [d[0] for d in known] + [y for y, _ in taught[v].values()])
             losses[v] = view.calibrate([d[1 + v] for d in held], [d[0] for d in held])
         if turn == s.rounds:
             break
-        for v, view in enumerate(views):
-            p = np.array([sigmoid(view.margin(*d[1 + v])) for d in pool])
-            used = {i for i, _ in taught[1 - v]}
-            for y, sure in ((1, p), (0, 1 - p)):
-                best = [int(i) for i in np.argsort(-sure, kind="stable") if sure[i] >= s.confident and int(i) not in used]
-                taught[1 - v] += [(i, y) for i in best[: s.per_round]]
+        for v, own in enumerate(_sure(made, judged, views, taught, s)):
+            taught[1 - v] |= own
     trust = [max(1e-3, np.log(2) - x) for x in losses]  # what each view knows beyond a coin
     return Model(views[0], views[1], (trust[0] / sum(trust), trust[1] / sum(trust)), s)
 
@@ -203,13 +255,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     """
     spark = docs.sparkSession
     docs, labels = only(docs, "doc_id", "text", "lang", "source", "n_chars"), only(labels, "doc_id", "quality")
-    sent = spark.sparkContext.broadcast(train(docs, labels, s))
+    made = cut(features(docs, s))
+    sent = spark.sparkContext.broadcast(train(made, labels, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, slots = sent.value, _Slots(s.slots)
-        for batch in batches:
-            columns = zip(*[batch[c].to_pylist() for c in ("text", "lang", "source", "n_chars")], strict=True)
-            scores = [model.score(*row, slots) if model else (0.5, 0.5, 0.5) for row in columns]
-            yield pa.record_batch({"doc_id": batch["doc_id"], **{name: pa.array([x[i] for x in scores], pa.float64()) for i, name in enumerate(("text_score", "meta_score", "score"))}, "quality_pred": pa.array([int(x[2] >= 0.5) for x in scores], pa.int32())})
-
-    return docs.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, quality_pred int")
+        model = sent.value
+        for batch in parts(batches, "x"):
+            a, b = _margins([model.text, model.meta], batch) if model else np.zeros((2, batch.num_rows))
+            both = model.shares[0] * a + model.shares[1] * b if model else a
+            scores = [sigmoid(z) for z in (a, b, both)]
+            yield pa.record_batch({"doc_id": batch["doc_id"], **{name: pa.array(x, pa.float64()) for name, x in zip(("text_score", "meta_score", "score"), scores, strict=True)}, "quality_pred": pa.array((scores[2] >= 0.5).astype(np.int32), pa.int32())})
+
+    return made.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, quality_pred int")

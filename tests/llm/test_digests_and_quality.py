@@ -4,6 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from contentprint.llm import cotrain
 from contentprint.llm.cotrain import Settings, score_quality
 from contentprint.llm.fingerprints import Digester, compare_neighbours, entropy_levels, fingerprint, likeness, rarity_ranks
 
@@ -97,3 +98,26 @@ def test_without_labels_nothing_is_known(spark, docs):
     none = spark.createDataFrame([], LABEL)
     assert {r.score for r in score_quality(docs([(1, "a"), (2, None)]), none).collect()} == {0.5}
     assert score_quality(docs([]), none).count() == 0
+
+
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark, docs):
+    rows, labels = corpus()
+    odd = [(None, "no id at all", "en", "good"), rows[200], (200, "another text", "en", "bad")]
+    known = spark.createDataFrame([(i, y) for i, y, _ in labels[:120]], "doc_id long, quality int")
+    s = Settings(labelled_docs=100, pool_docs=10, per_round=1000, confident=0.6)
+    made = cotrain.features(docs([*rows, *odd]).select("doc_id", "text", "lang", "source", "n_chars"), s).cache()
+    model = cotrain.train(made, known, s)
+    views = [model.text, model.meta]
+    got = cotrain._sure(made, known, views, [{}, {}], s)
+    p = {}
+    for r in made.collect():
+        if r.doc_id is None or r.doc_id >= 120:
+            pair = cotrain._pair(r)
+            p.setdefault(r.key if r.doc_id is None else r.doc_id, []).append([cotrain.sigmoid(v.margin(*pair[i])) for i, v in enumerate(views)])
+    assert len(p) == 281
+    for v in (0, 1):
+        assert set(got[v]) == {i for i, own in p.items() if any(max(x[v], 1 - x[v]) >= 0.6 for x in own)} and len(got[v]) > 100
+    few = cotrain._sure(made, known, views, [{i: None for i in got[1]}, {}], Settings(per_round=7, confident=0.6))
+    assert not few[1] and len(few[0]) == 14
+    best = sorted((max(x[0] for x in own) for own in p.values()), reverse=True)[:7]
+    assert all(max(x[0] for x in p[i]) >= best[-1] - 1e-9 for i, (y, _) in few[0].items() if y)
