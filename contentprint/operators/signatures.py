@@ -49,8 +49,23 @@ def bands(signed: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFram
     return signed.select("record_id", F.inline(each))
 
 
+def _classes(rows: DataFrame, *key: str) -> DataFrame:
+    least = rows.groupBy(*key).agg(F.min("record_id").alias("representative"))
+    return rows.select("record_id", *key).join(least, list(key)).select("record_id", "representative")
+
+
+def signature_classes(signed: DataFrame) -> DataFrame:
+    """record_id, representative: for each record the smallest one of its signature, which stands for it in the pairs; also where that is in no pair."""
+    return _classes(signed, "signature")
+
+
+def simhash_classes(hashed: DataFrame) -> DataFrame:
+    """record_id, representative: for each record the smallest one of its fingerprint (distance 0), which stands for it in simhash_pairs()."""
+    return _classes(hashed, "hi", "lo")
+
+
 def lsh_candidates(signed: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Pairs a < b that share a bucket in some band. Records with one signature are compared through the smallest of them only, then expanded."""
+    """Pairs a < b that share a bucket in some band. Of the records with one signature the smallest stands for all: see signature_classes()."""
     first = signed.groupBy("signature").agg(F.min("record_id").alias("record_id"))
     buckets = bands(first, n_bands, rows)
     left, right = buckets.withColumnRenamed("record_id", "a"), buckets.withColumnRenamed("record_id", "b")
@@ -58,7 +73,7 @@ def lsh_candidates(signed: DataFrame, n_bands: int = BANDS, rows: int = ROWS) ->
 
 
 def lsh_near_duplicates(records: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """a, b, estimate of the pairs of different signatures that agree in `threshold` of the slots."""
+    """a, b, estimate of the pairs of different signatures that agree in `threshold` of the slots; signature_classes() tells for whom a and b stand."""
     signed = signatures(records)
     of = lambda x: signed.select(F.col("record_id").alias(x), F.col("signature").alias(f"s{x}"))
     pairs = lsh_candidates(signed).join(of("a"), "a").join(of("b"), "b")
@@ -83,7 +98,7 @@ def simhash(records: DataFrame, idf: DataFrame | None = None) -> DataFrame:
 
 
 def simhash_pairs(hashed: DataFrame, most: int = 3) -> DataFrame:
-    """a, b, distance of fingerprints within `most` bits: of most + 1 blocks one must be equal, so pairs meet on equal blocks only."""
+    """a, b, distance of fingerprints within `most` bits: of most + 1 blocks one must be equal, so pairs meet on equal blocks only. simhash_classes() tells for whom a and b stand."""
     blocks, width = most + 1, 64 // (most + 1)
     whole = F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))
     keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(whole, i * width).bitwiseAND(F.lit((1 << (width if i < blocks - 1 else 64 - width * (blocks - 1))) - 1 if width < 63 else -1)).alias("key")) for i in range(blocks)])

@@ -259,6 +259,11 @@ def _(spark, d):
     return rounded(signatures.lsh_near_duplicates(T.text_records(spark, d)), "estimate")
 
 
+@query("lsh_classes", f"WITH {MINHASH} SELECT record_id, min(record_id) OVER (PARTITION BY s) AS representative FROM sig")
+def _(spark, d):
+    return signatures.signature_classes(signatures.signatures(T.text_records(spark, d)))
+
+
 SIM = """b AS (SELECT i FROM range(32) r(i)), hs AS (SELECT record_id, w, ('0x' || substring(md5(term), 1, 8))::BIGINT AS hi, ('0x' || substring(md5(term), 9, 8))::BIGINT AS lo FROM wt),
 sums AS (SELECT record_id, i, sum(CASE WHEN (hi >> i) & 1 = 1 THEN w ELSE -w END) AS a, sum(CASE WHEN (lo >> i) & 1 = 1 THEN w ELSE -w END) AS c FROM hs, b GROUP BY ALL),
 fp AS (SELECT record_id, CAST(sum(CASE WHEN round(a, 6) > 0 THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS hi, CAST(sum(CASE WHEN round(c, 6) > 0 THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS lo FROM sums GROUP BY record_id)"""
@@ -287,6 +292,11 @@ def _(spark, d):
     return signatures.simhash_pairs(signatures.simhash(T.text_records(spark, d)))
 
 
+@query("simhash_classes", f"WITH {SIM_TF} SELECT record_id, min(record_id) OVER (PARTITION BY hi, lo) AS representative FROM fp")
+def _(spark, d):
+    return signatures.simhash_classes(signatures.simhash(T.text_records(spark, d)))
+
+
 @query("exact_dup_groups", "SELECT sha256(text) AS fingerprint, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def _(spark, d):
     return signatures.exact_groups(T.text_records(spark, d).filter("text IS NOT NULL"))

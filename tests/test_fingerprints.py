@@ -30,6 +30,16 @@ def test_native_signatures_estimate_jaccard(spark):
     assert sorted(r.record_id for r in signatures.keep_first(df).collect()) == [1, 2, 3, 5]
 
 
+def test_classes_tell_for_whom_a_record_stands(spark):
+    base = [f"w{i}" for i in range(200)]
+    turned = [*base[100:], *base[:100]]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:195], "x", "y"])), (4, " ".join(base)), (5, "short text"), (6, "text short"), (7, "short  TEXT"), (8, " ".join(turned)), (9, "")]
+    df = spark.createDataFrame(rows, "record_id long, text string")
+    signed, hashed = signatures.signatures(df), signatures.simhash(df)
+    assert {tuple(r) for r in signatures.signature_classes(signed).collect()} == {(1, 1), (2, 2), (4, 1), (5, 5), (6, 6), (7, 5), (8, 8)}
+    assert {tuple(r) for r in signatures.simhash_classes(hashed).collect()} == {(1, 1), (2, 2), (4, 1), (5, 5), (6, 5), (7, 5), (8, 1)}
+
+
 def test_simhash_pairs_find_all_within_the_radius(spark):
     import random
 
