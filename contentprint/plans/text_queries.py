@@ -42,6 +42,11 @@ def _(spark, d):
     return own.select("record_id", F.md5(text.markdown_text(made)).alias("text_md5"))
 
 
+@query("markdown_whole_text")
+def _(spark, d):
+    return T.text_records(spark, d).select("record_id", F.md5(text.markdown_text(F.col("text"))).alias("text_md5"))
+
+
 @query("minhash_wire")
 def _(spark, d):
     made = kernels.fingerprint(T.text_records(spark, d), "minhash-h128")
