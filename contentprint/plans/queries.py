@@ -540,6 +540,16 @@ def _(spark, d):
     return rounded(_hexes(spark, d).select("record_id", bits.hamming_hex(a, b).alias("distance"), bits.bit_match(a, b).alias("match_pct")), "match_pct")
 
 
+_PIECES = " + ".join(f"bit_count(xor(('0x' || substring(h, {i}, 8))::BIGINT, ('0x' || substring(g, {i}, 8))::BIGINT))::INTEGER" for i in range(1, 65, 8))
+
+
+@query("hamming_whole_digests", f"""WITH {HEXES}, x AS (SELECT record_id, {_PIECES} AS distance FROM hx)
+SELECT record_id, distance, round(100.0::DOUBLE * (1 - distance / 256.0::DOUBLE), 6) AS match_pct FROM x""")
+def _(spark, d):
+    a, b = F.col("h"), F.col("g")
+    return rounded(_hexes(spark, d).select("record_id", bits.hamming_hex(a, b).alias("distance"), bits.bit_match(a, b).alias("match_pct")), "match_pct")
+
+
 @query("landmark_fields", f"""WITH {HEXES}, x AS (SELECT record_id, ('0x' || substring(h, 1, 8))::BIGINT AS l FROM hx)
 SELECT record_id, (l >> 23) & 511 AS f_a, (l >> 14) & 511 AS f_b, l & 16383 AS dt FROM x""")
 def _(spark, d):

@@ -59,3 +59,12 @@ def test_markdown_of_whole_texts(spark, tmp_path):
     got = {r.record_id: r.text_md5 for r in QUERIES["markdown_whole_text"](spark, str(tmp_path)).collect()}
     assert brute(texts[0]) == "Title A first sentence of more than thirty characters. one two said link and bold"
     assert got == {i: None if t is None else hashlib.md5(brute(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_hamming_of_whole_digests(spark, tmp_path):
+    texts = ["a", "", None, "some longer text"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(4), pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    got = {r.record_id: (r.distance, r.match_pct) for r in QUERIES["hamming_whole_digests"](spark, str(tmp_path)).collect()}
+    number = lambda x: int(hashlib.sha256(x.encode()).hexdigest(), 16)
+    want = {i: (number(t) ^ number(t + "x")).bit_count() for i, t in enumerate(texts) if t is not None}
+    assert got == {i: (n, round(100 * (1 - n / 256), 6)) for i, n in want.items()}
