@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # the GNU C library has it, others don't
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError, TypeError):
+    _LIBC = None
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -43,6 +50,15 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <<
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+        release()
+
+
+def release() -> None:
+    """Hand back what Arrow and the C library hold of finished batches: Python workers live on and would keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def is_unique(df: DataFrame, column: str) -> bool:
@@ -64,25 +80,29 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names, strict=True)])
 
 
-def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in table["counts"].to_pylist())
-    return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+def _adder(kind: str, code):
+    """Adds up the arrays of a group; `code`, if any, makes bytes of the sum. Coding here keeps a stage to one Python worker a task."""
 
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros(0, np.int64)
+        for x in table["counts"]:
+            own = np.frombuffer(x.as_buffer(), kind)
+            total = own.astype(np.int64) if not len(total) else total + own
+        raw = (code(total) if code else total).tobytes()
+        return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "counts": pa.array([raw], pa.binary())})
 
-def sum_arrays(df: DataFrame, n_parts: int, fan_in: int = 64, code=None) -> dict[int, np.ndarray]:
-    """Sums of (slice int, part long, counts binary of int64) by slice, added up a tree of at most fan_in arrays a task.
+    return run
 
-    The arrays have a fixed length; it and the number of slices bound what reaches the driver. code: what the executors turn each sum into, an array of bytes.
-    """
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch({"slice": batch["slice"], "counts": pa.array([code(np.frombuffer(x, "<i8")).tobytes() for x in batch["counts"].to_pylist()], pa.binary())})
+def sum_arrays(df: DataFrame, n_parts: int, fan_in: int = 64, code=None, kind: str = "<i8") -> dict[int, np.ndarray]:
+    """Sums of (slice int, part long, counts binary of `kind`) by slice, added up a tree of at most fan_in arrays a task.
 
+    The arrays have a fixed length; it and the number of slices bound what reaches the driver. code: what the executors turn each sum into, an array of bytes.
+    """
     while True:
-        df = df.withColumn("part", F.floor(F.col("part") / fan_in).cast("long")).groupBy("slice", "part").applyInArrow(_added, "slice int, part long, counts binary")
         n_parts = -(-n_parts // fan_in)
-        if n_parts <= 1 and code:
-            return {r["slice"]: np.frombuffer(r["counts"], np.uint8) for r in df.select("slice", "counts").mapInArrow(coded, "slice int, counts binary").collect()}
-        if n_parts <= 1:
-            return {r["slice"]: np.frombuffer(r["counts"], "<i8") for r in df.collect()}
+        last = n_parts <= 1
+        df = df.withColumn("part", F.floor(F.col("part") / fan_in).cast("long")).groupBy("slice", "part").applyInArrow(_adder(kind, code if last else None), "slice int, part long, counts binary")
+        kind = "<i8"
+        if last:
+            return {r["slice"]: np.frombuffer(r["counts"], np.uint8 if code else "<i8") for r in df.collect()}

@@ -119,16 +119,10 @@ def _count(counts: np.ndarray, parts: list[np.ndarray], mask: np.uint64) -> None
         np.add.at(counts, (s & mask).astype(np.int64), 1)
 
 
-def _added_small(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.uint8) for x in table["small"].to_pylist()], axis=0, dtype=np.int64)
-    return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def rarity(parts: DataFrame, n: int, bits: int) -> np.ndarray:
     """For each of 2^bits hash slots, a byte that grows with the number of shingles in it, over all documents. n: tasks that counted."""
-    first = parts.withColumn("part", F.floor(F.col("part") / 64).cast("long")).groupBy("slice", "part").applyInArrow(_added_small, "slice int, part long, counts binary")
     out = np.zeros(1 << bits, np.uint8)
-    for i, own in sum_arrays(first, -(-n // 64), code=lambda counts: np.floor(2 * np.log2(counts + 1)).astype(np.uint8)).items():
+    for i, own in sum_arrays(parts.withColumnRenamed("small", "counts"), n, code=lambda counts: np.floor(2 * np.log2(counts + 1)).astype(np.uint8), kind="u1").items():
         out[i * SLICE : i * SLICE + len(own)] = own
     return out
 
