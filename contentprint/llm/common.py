@@ -61,12 +61,23 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: Bytes of a batch of rows on its way to a Python worker, in sessions that don't set the bound themselves: rows can be very long texts.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def is_unique(df: DataFrame, column: str) -> bool:
     return df.groupBy(column).count().filter("count > 1").limit(1).count() == 0
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns under exactly these names; extra columns, also with clashing names in other case, go."""
+    """The named columns under exactly these names; extra columns, also with clashing names in other case, go. Every operator starts
+    here, so the bound of batches for Python is set here."""
+    bound_batches(df.sparkSession)
     out = []
     for name in names:
         exact = [c for c in df.columns if c == name] or [c for c in df.columns if c.lower() == name.lower()]
