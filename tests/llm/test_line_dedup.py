@@ -3,7 +3,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from contentprint.llm.line_dedup import PerfectHash, dedup_lines
+import pyarrow as pa
+
+from contentprint.llm.line_dedup import PerfectHash, Shard, _build_shard, dedup_lines
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -51,3 +53,19 @@ def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     perfect = PerfectHash.load(PerfectHash.build(keys).dump())
     assert sorted(perfect.index(keys)) == list(range(len(keys)))
+
+
+def test_small_shards_and_a_hot_line(docs):
+    """Shards of a few lines, one of which most documents ask for: it is held by several tasks."""
+    rows = [(i, f"the line that is in nearly all documents\n{'own line of this document ' * 2}{i % 40}") for i in range(200)] + sample()
+    got = sorted([(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in dedup_lines(docs(rows), shard_lines=8, broadcast_bytes=0).collect()], key=str)
+    assert got == brute(rows)
+
+
+def test_equal_half_hashes_stay_apart():
+    rows = [(5, 1, 3, 10), (5, 2, 7, 11), (5, 3, 1, 12), (6, 1, 4, 13)]
+    table = pa.table({"shard": [0] * 4, **{c: [r[i] for r in rows] for i, c in enumerate(("h1", "h2", "n", "owner"))}})
+    shard = Shard(_build_shard(table).to_pylist()[0])
+    ask = np.array([r[0] for r in rows] + [5, 7], np.uint64), np.array([r[1] for r in rows] + [9, 1], np.uint64)
+    counts, owners = shard.probe(*ask)
+    assert counts.tolist() == [3, 7, 1, 4, 0, 0] and owners.tolist()[:4] == [10, 11, 12, 13]
