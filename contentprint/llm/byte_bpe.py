@@ -1,6 +1,6 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is encoded as a tree over its halves. Two neighbours join by re-encoding a window around their border that grows
+A text of two or more characters is encoded as a tree over its halves. Two neighbours join by re-encoding a window around their border that grows
 on both sides until it reaches a safe cut: a blank or newline after a character that isn't white space. No match of the
 splitting pattern holds white space after another character, and what a match takes depends only on the text from its start, so both
 halves have a token border at every safe cut and no token beyond the cuts can change. Decoding concatenates up the tree.
@@ -21,8 +21,9 @@ from .common import only, parts
 
 UNSAFE = re.compile(r"\s[ \n]")
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
-LEAF_CHARS = 8192
-CACHED = 150_000
+#: Texts of more characters are halved; shorter ones too, once, if they have two characters or more.
+LEAF_CHARS = 256
+CACHED = 100_000
 
 
 class Words(dict):
@@ -38,6 +39,16 @@ class Words(dict):
         return value
 
 
+class Firsts(Words):
+    """The same for the text before a first safe cut, which stands for itself."""
+
+    def __missing__(self, text: str):
+        if len(self) > CACHED or len(text) > 64:
+            self.clear()
+        value = self[text] = self.make(text)
+        return value
+
+
 def words_of(text: str) -> tuple[str, list[str]] | None:
     """The text up to its first safe cut and the words after it, None where a blank follows white space."""
     if UNSAFE.search(text):
@@ -56,9 +67,10 @@ class ByteBPE:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.lengths = np.array([len(x) for x in self.tokens])
+        self.lengths = [len(x) for x in self.tokens]
         self.leaf_chars = max(2, leaf_chars)
         self.words = Words(self._pack)
+        self.firsts = Firsts(self._pack)
 
     def _pack(self, text: str) -> bytes:
         return np.array(self.library.encode_ordinary(text), "<u4").tobytes()
@@ -67,16 +79,17 @@ class ByteBPE:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text or (parts := words_of(text)) is None:
             return self._pack(text)
-        return self._pack(parts[0]) + b"".join(map(self.words.__getitem__, parts[1]))
+        return self.firsts[parts[0]] + b"".join(map(self.words.__getitem__, parts[1]))
 
     def encode(self, text: str) -> bytes:
-        return self._tree(text, 0, len(text))
+        """The ids of the whole text, by at least one join unless it has a single character or none."""
+        return self._tree(text, 0, len(text), max(1, min(self.leaf_chars, len(text) - 1)))
 
-    def _tree(self, text: str, lo: int, hi: int) -> bytes:
-        if hi - lo <= self.leaf_chars:
+    def _tree(self, text: str, lo: int, hi: int, leaf_chars: int) -> bytes:
+        if hi - lo <= leaf_chars:
             return self.leaf(text[lo:hi])
         mid = (lo + hi) // 2
-        return self.join(text, lo, mid, hi, self._tree(text, lo, mid), self._tree(text, mid, hi))
+        return self.join(text, lo, mid, hi, self._tree(text, lo, mid, leaf_chars), self._tree(text, mid, hi, leaf_chars))
 
     def join(self, text: str, lo: int, mid: int, hi: int, left: bytes, right: bytes) -> bytes:
         """The ids of text[lo:hi] from those of text[lo:mid] and text[mid:hi]."""
@@ -86,34 +99,37 @@ class ByteBPE:
                 p = cuts[-1]
                 break
             width *= 2
+        if p == mid:  # a safe cut: nothing can change
+            return left + right
         width = 32
         while mid + width < hi:
             if cut := SAFE.search(text, mid, mid + width):
                 q = cut.start()
                 break
             width *= 2
-        if p == q:
-            return left + right
-        head = self._keep(left, len(text[p:mid].encode()), True)
-        tail = self._keep(right, len(text[mid:q].encode()), False)
-        return head + self.leaf(text[p:q]) + tail
-
-    def _keep(self, ids: bytes, n_bytes: int, at_end: bool) -> bytes:
-        """ids without the tokens of n_bytes at the end or at the start."""
-        if not n_bytes:
-            return ids
-        held = self.lengths[np.frombuffer(ids, "<u4")]
-        n = int(np.searchsorted(np.cumsum(held[::-1] if at_end else held), n_bytes)) + 1
-        return ids[: len(ids) - 4 * n] if at_end else ids[4 * n :]
+        head = len(left) - 4 * self._tokens_of(left, len(text[p:mid].encode()), -1)
+        tail = 4 * self._tokens_of(right, len(text[mid:q].encode()), 1)
+        return left[:head] + self.leaf(text[p:q]) + right[tail:]
+
+    def _tokens_of(self, ids: bytes, n_bytes: int, step: int) -> int:
+        """How many tokens make up n_bytes, counted from the start (step 1) or from the end (-1): both are borders of tokens."""
+        held, lengths, n = memoryview(ids).cast("I"), self.lengths, 0
+        at = 0 if step > 0 else -1
+        while n_bytes > 0:
+            n_bytes -= lengths[held[at]]
+            at += step
+            n += 1
+        return n
 
     def decode(self, ids: bytes) -> bytes:
-        return self._concat(np.frombuffer(ids, "<u4"), 0, len(ids) // 4)
+        n = len(ids) // 4
+        return self._concat(memoryview(ids).cast("I"), 0, n, max(1, min(self.leaf_chars, n - 1)))
 
-    def _concat(self, ids: np.ndarray, lo: int, hi: int) -> bytes:
-        if hi - lo <= 4 * self.leaf_chars:
-            return b"".join(map(self.tokens.__getitem__, ids[lo:hi].tolist()))
+    def _concat(self, ids: memoryview, lo: int, hi: int, leaf: int) -> bytes:
+        if hi - lo <= leaf:
+            return b"".join(map(self.tokens.__getitem__, ids[lo:hi]))
         mid = (lo + hi) // 2
-        return self._concat(ids, lo, mid) + self._concat(ids, mid, hi)
+        return self._concat(ids, lo, mid, leaf) + self._concat(ids, mid, hi, leaf)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, leaf_chars: int = LEAF_CHARS, digests: bool | tuple[str, ...] = False) -> DataFrame:

@@ -31,6 +31,15 @@ def test_tree_equals_library(leaf):
         assert bpe.decode(want) == text.encode()
 
 
+def test_every_text_of_two_characters_reaches_a_join():
+    bpe, seen = ByteBPE(RANKS, P.PATTERN), []
+    bpe.join = lambda *a, join=bpe.join: seen.append(1) or join(*a)
+    for text in [*texts(60, 40), "ab", "word", "very long text " * 500]:
+        seen.clear()
+        assert bpe.encode(text) == np.array(LIBRARY.encode_ordinary(text), "<u4").tobytes()
+        assert bool(seen) == (len(text) >= 2)
+
+
 def test_encode_and_decode_tables(spark, docs):
     rows = [(1, "Hello there\nyou"), (1, "Hello there\nyou"), (None, None), (3, ""), (4, "long " * 9000)]
     df = docs(rows).selectExpr("*", "1 AS Text_", "2 AS extra")
