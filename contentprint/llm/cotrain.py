@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, parts
+from .common import cut, only, parts, tidy
 
 
 @dataclass(frozen=True)
@@ -247,6 +247,7 @@ def train(made: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     return Model(views[0], views[1], (trust[0] / sum(trust), trust[1] / sum(trust)), s)
 
 
+@tidy
 def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per input row: doc_id, text_score, meta_score, score (probabilities of quality 1), quality_pred (score of a half or more).
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, is_unique, only, parts
+from .common import cut, is_unique, only, parts, tidy
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: A null doc_id counts as one document that comes before all others.
@@ -233,6 +233,7 @@ def _drop(least: int):
     return run
 
 
+@tidy
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcast_bytes: int = 16 << 20, shard_lines: int = 1 << 15, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept (the text without its dropped lines), and the columns in `keep`.
 

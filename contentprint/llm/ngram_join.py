@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, is_unique, only, parts as slices, sum_arrays
+from .common import cut, only, parts as slices, sum_arrays, tidy
 
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
@@ -293,6 +293,7 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
+@tidy
 def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str | None = None, small_bucket: int = SMALL_BUCKET, hot_code: int = HOT_CODE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included). If a long column
     of docs is named as key, also group (a number of the component, null for rows without a set) and key, that column.
@@ -411,3 +412,28 @@ def _result(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     linked = rows.filter("node IS NOT NULL").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group", "key")
     alone = rows.filter("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), "key")
     return linked.unionByName(alone)
+
+
+@tidy
+def one_of_each(docs: DataFrame, columns: tuple[str, ...], k: int = 5, num: int = 80, den: int = 100, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The named columns (doc_id and text among them) of the rows that stay: of each group of linked rows that with the smallest doc_id, a null
+    one coming last, and of rows with one doc_id that with the smallest hash of its text. Rows without words are linked with nothing and stay.
+
+    Decisions are taken by row: of rows that share a doc_id but not their text some may stay and others go. Of rows equal in both one stays,
+    that with the smallest other columns. Extra columns are ignored; an empty table gives an empty result.
+    """
+    c = F.col
+    docs = only(docs, *columns).withColumn("text_key", F.xxhash64("text"))
+    rows = cut(link_documents(docs.select("doc_id", "text", "text_key"), k, num, den, key="text_key").filter("group IS NOT NULL"))
+    place = F.struct(c("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = rows.groupBy("group").agg(F.min(place).alias("best"))
+    gone = cut(rows.join(best, "group").filter(~place.eqNullSafe(c("best"))).select(c("doc_id").alias("gone_id"), c("key").alias("gone_key")).distinct())
+    same = c("doc_id").eqNullSafe(c("gone_id")) & (c("text_key") == c("gone_key"))
+    small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df
+    kept = docs.join(small(gone), same, "left_anti")
+    again = cut(rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(c("doc_id").alias("gone_id"), c("key").alias("gone_key")))
+    if again.limit(1).count():
+        again, rest = small(again), [x for x in columns if x not in ("doc_id", "text")]
+        repeated = kept.join(again, same, "left_semi").groupBy("doc_id", "text_key").agg(F.min(F.struct(*rest, "text")).alias("row"))
+        kept = kept.join(again, same, "left_anti").select(*columns).unionByName(repeated.select("doc_id", "row.*").select(*columns))
+    return kept.select(*columns)
