@@ -4,8 +4,8 @@ Every benchmark item is compared with windows of its own number of words. A wind
 shingles agree with the item's to `similarity` or more. Steps:
 
 * Words become hashes and shingles become codes whose low three bits are the shingle's weight, so that weights need no lookup.
-* A document's codes are dealt into tiles of neighbouring window starts. Windows without a single shingle of an item have
-  similarity 0; only starts near a shared shingle are kept. Equal windows, however many documents hold them, go on once.
+* Only windows that hold enough of an item's shingles can be similar. Positions of shared shingles are dealt into tiles of window starts, whose
+  length follows the item's; the starts that have enough of them within reach are the windows that are looked at.
 * Each window and item gets a 64-bit SimHash; sums for all bits are kept in lanes of a few integers.
 * The bits are cut into blocks. Two fingerprints within `radius` differ by at most radius // blocks bits in some block, so an index of
   items under all block values that close finds every window within the radius.
@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only
+from .common import cut, only, tidy
 
 K = 5
 LONG_WORD = 6
@@ -98,6 +98,86 @@ def candidates(windows: DataFrame, index: DataFrame, radius: int, blocks: int) -
     return pairs.withColumn("distance", F.bit_count(apart)).filter((F.col("distance") <= radius) & first_block).drop("block", "value", "item_fp")
 
 
+def _coded_items(benchmark: DataFrame, similarity: int) -> DataFrame:
+    """item_id, item, codes, n (words), need: the least number of shared positions of a window that is similar enough."""
+    c = F.col
+    items = cut(shingle_codes(only(benchmark, "item_id", "text"), "text").select("item_id", "codes")).filter(F.size("codes") > 0)
+    heaviest = F.array_max(F.transform("codes", lambda x: x.bitwiseAND(F.lit(7))))
+    need = F.greatest(F.lit(1), F.ceil(weight(F.array_distinct("codes")) * similarity / (heaviest * 100) - 1e-9)).cast("int")
+    return items.select("item_id", "codes", (F.size("codes") + K - 1).alias("n"), F.xxhash64("codes").alias("item"), need.alias("need"))
+
+
+def _spans(coded: DataFrame, wanted: DataFrame, narrow: bool) -> DataFrame:
+    """doc_id, text_key, n, step, need, tile, spots (positions of shared shingles after the tile's first start) and around (the codes that
+    the tile's windows reach over). narrow: `wanted` is broadcast, so that a hit can take its surroundings along; else they are joined afterwards."""
+    c = F.col
+    step = F.greatest(F.lit(TILE), F.pow(F.lit(2), F.ceil(F.log2(c("n"))))).cast("int")
+    wanted = wanted.withColumn("step", step)
+    kept = ["doc_id", "text_key", *(["codes"] if narrow else [])]
+    # the outer form: for the other Spark infers filters on its input, for which it would work out the codes again and again
+    hits = coded.select(*kept, F.posexplode_outer("codes").alias("at", "code")).join(F.broadcast(wanted) if narrow else wanted, "code")
+    tiles = F.array_distinct(F.array(F.floor(c("at") / c("step")), F.floor(F.greatest(F.lit(0), c("at") - c("n") + K) / c("step"))))
+    hits = hits.select(*kept, "n", "step", "need", "at", F.explode(tiles).alias("tile"))
+    around = F.slice("codes", (c("tile") * c("step") + 1).cast("int"), c("step") + c("n") - K)
+    spots = F.sort_array(F.collect_set((c("at") - c("tile") * c("step")).cast("int"))).alias("spots")
+    key = ["doc_id", "text_key", "n", "step", "need", "tile"]
+    if narrow:
+        return hits.withColumn("around", around).groupBy(*key).agg(spots, F.first("around").alias("around"))
+    spans = hits.groupBy(*key).agg(spots)
+    held = coded.dropDuplicates(["doc_id", "text_key"]).toDF("held_doc", "held_key", "codes")
+    same = c("doc_id").eqNullSafe(c("held_doc")) & c("text_key").eqNullSafe(c("held_key"))
+    return spans.join(held, same).select(*key, "spots", around.alias("around"))
+
+
+def _starts(spans: DataFrame) -> DataFrame:
+    """doc_id, text_key, n, base (the tile's first word), around, and the starts of windows that hold `need` shared positions and more."""
+    c, reach = F.col, F.col("n") - K
+    last = F.least(c("step") - 1, F.greatest(F.lit(0), F.size("around") - 1 - reach))
+
+    def starts(i: Column) -> Column:
+        """From the i-th shared position on, a window of `need`; starts up to the position before have been taken with that."""
+        before = F.when(i == 0, F.lit(0)).otherwise(F.get("spots", i - 1) + 1)
+        return F.struct(F.greatest(F.lit(0), before, F.get("spots", i + c("need") - 1) - reach).alias("lo"), F.least(F.get("spots", i), last).alias("hi"))
+
+    firsts = F.when(F.size("spots") >= c("need"), F.sequence(F.lit(0), F.size("spots") - c("need"))).otherwise(F.array().cast("array<int>"))
+    ranges = F.filter(F.transform(firsts, starts), lambda r: r["lo"] <= r["hi"])
+    found = spans.withColumn("starts", F.flatten(F.transform(ranges, lambda r: F.sequence(r["lo"], r["hi"]))))
+    return found.select("doc_id", "text_key", "n", (c("tile") * c("step")).cast("int").alias("base"), "around", "starts").filter(F.size("starts") > 0)
+
+
+def _codes_of_window() -> Column:
+    return F.slice("around", F.col("start") + 1, F.col("n") - K + 1)
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, similarity: int, radius: int, blocks: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, text_key (a hash of the text), item_id, n, start_word, distance, similarity of all similar windows."""
+    c = F.col
+    items = _coded_items(benchmark, similarity)
+    facts = items.agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("items"), F.sum(F.size("codes")).alias("shingles")).first()
+    stride = 16 if (facts["longest"] or K) * (K + 1) < 1 << 15 else 32
+    few = (facts["shingles"] or 0) <= broadcast_rows
+    small = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
+    needs = items.groupBy("n").agg(F.min("need").alias("need"))
+    wanted = items.select("n", F.explode_outer("codes").alias("code")).distinct().join(needs, "n")
+    coded = shingle_codes(only(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text")), "text").select("doc_id", "text_key", "codes")
+    spans = cut(_starts(_spans(coded, wanted, few)))
+    each = spans.select("doc_id", "text_key", "n", "base", "around", F.explode_outer("starts").alias("start"))
+    # windows are kept by their fingerprint and place; the codes of those that come close to an item are taken from the span again
+    windows = cut(simhash(each.select("doc_id", "text_key", "n", "base", "start", _codes_of_window().alias("codes")), "codes", stride).drop("codes"))
+
+    own = cut(simhash(items.groupBy("item", "n").agg(F.first("codes").alias("codes")), "codes", stride).withColumnRenamed("fp", "item_fp"))
+    per_item = sum(sum(_choose(bits, i) for i in range(radius // blocks + 1)) for _, bits in block_bounds(blocks))
+    index = small(block_index(own, radius, blocks), facts["items"] * per_item)
+    held = spans.select(c("doc_id").alias("held_doc"), c("text_key").alias("held_key"), c("n").alias("held_n"), c("base").alias("held_base"), "around")
+    same = c("doc_id").eqNullSafe(c("held_doc")) & (c("text_key") == c("held_key")) & (c("n") == c("held_n")) & (c("base") == c("held_base"))
+    close = candidates(windows, index, radius, blocks).join(held, same).withColumn("codes", _codes_of_window())
+    both = close.select("doc_id", "text_key", "n", (c("base") + c("start")).alias("start_word"), "item", "distance", "codes").join(small(own.select("item", c("codes").alias("item_codes")), facts["shingles"] or 0), "item")
+    both = both.withColumn("common", weight(F.array_intersect("codes", "item_codes"))).withColumn("all", weight(F.array_distinct("codes")) + weight(F.array_distinct("item_codes")) - c("common"))
+    close = both.filter(c("common") * 100 >= c("all") * similarity).select("doc_id", "text_key", "n", "start_word", "item", "distance", (c("common") / c("all")).alias("similarity"))
+    return close.join(small(items.select("item", "item_id"), facts["items"]), "item").drop("item")
+
+
+@tidy
 def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: int = 80, radius: int = 19, blocks: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs doc_id, item_id with n_words (of the item), start_word, similarity and distance of the document's best window (the earliest of equals).
 
@@ -107,48 +187,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: int = 80,
     together, a null doc_id as null; likewise item_id. Extra columns are ignored; empty tables give no pairs.
     """
     c = F.col
-    items = cut(shingle_codes(only(benchmark, "item_id", "text"), "text").select("item_id", "codes")).filter(F.size("codes") > 0)
-    items = items.select("item_id", "codes", (F.size("codes") + K - 1).alias("n"), F.xxhash64("codes").alias("item"))
-    facts = items.agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("items"), F.sum(F.size("codes")).alias("shingles")).first()
-    longest = facts["longest"] or K
-    stride = 16 if longest * (K + 1) < 1 << 15 else 32
-    small = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
-    wanted = small(items.select("n", F.explode_outer("codes").alias("code")).distinct(), facts["shingles"] or 0)
-
-    # tiles: the codes of `step` window starts and of what their windows reach over
-    step = max(TILE, longest)
-    coded = shingle_codes(only(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text")), "text").drop("text")
-    starts = F.when(F.size("codes") > 0, F.sequence(F.lit(0), F.floor((F.size("codes") - 1) / step).cast("int"))).otherwise(F.array().cast("array<int>"))
-    tiles = F.transform(starts, lambda t: F.struct(t.alias("tile"), F.slice(c("codes"), t * step + 1, F.lit(step + longest - K)).alias("codes")))
-    # the outer forms: for the others Spark infers filters on their input, for which it would work out the codes again and again
-    tiled = coded.select("doc_id", "text_key", tiles.alias("tiles")).select("doc_id", "text_key", F.inline_outer("tiles")).filter("tile IS NOT NULL")
-    seeds = tiled.select("doc_id", "text_key", "tile", *([c("codes").alias("around")] if (facts["shingles"] or 0) <= broadcast_rows else []), F.posexplode_outer("codes").alias("at", "code")).join(wanted, "code")
-    spans = seeds.groupBy("doc_id", "text_key", "tile", "n").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), *([F.first("around").alias("around")] if "around" in seeds.columns else []))
-    if "around" not in spans.columns:
-        held = tiled.dropDuplicates(["doc_id", "text_key", "tile"]).toDF("held_doc", "held_key", "held_tile", "around")
-        same = c("doc_id").eqNullSafe(c("held_doc")) & c("text_key").eqNullSafe(c("held_key")) & (c("tile") == c("held_tile"))
-        spans = spans.join(held, same).select("doc_id", "tile", "n", "lo", "hi", "around")
-    reach = c("n") - K
-    first = F.greatest(F.lit(0), c("lo") - reach)
-    last = F.least(c("hi"), F.lit(step - 1), F.greatest(F.lit(0), F.size("around") - 1 - reach))
-    spots = F.transform(F.sequence(first, last), lambda s: F.struct(s.alias("start"), F.slice(c("around"), s + 1, c("n") - K + 1).alias("codes")))
-    windows = spans.filter(first <= last).select("doc_id", "n", (c("tile") * step).alias("base"), spots.alias("spots")).select("doc_id", "n", "base", F.inline_outer("spots"))
-    windows = cut(windows.select("doc_id", "n", (c("base") + c("start")).alias("start_word"), F.xxhash64("codes").alias("window"), "codes"))
-
-    distinct = cut(simhash(windows.groupBy("n", "window").agg(F.first("codes").alias("codes")), "codes", stride))
-    own = cut(simhash(items.groupBy("item", "n").agg(F.first("codes").alias("codes")), "codes", stride).withColumnRenamed("fp", "item_fp"))
-    per_item = sum(sum(_choose(bits, i) for i in range(radius // blocks + 1)) for _, bits in block_bounds(blocks))
-    index = small(block_index(own, radius, blocks), facts["items"] * per_item)
-    close = candidates(distinct, index, radius, blocks)
-    item_codes = small(own.select("item", c("codes").alias("item_codes")), facts["shingles"] or 0)
-    both = close.join(item_codes, "item")
-    common = weight(F.array_intersect("codes", "item_codes"))
-    both = both.withColumn("common", common).withColumn("all", weight(F.array_distinct("codes")) + weight(F.array_distinct("item_codes")) - c("common"))
-    matches = both.filter(c("common") * 100 >= c("all") * similarity).select("n", "window", "item", "distance", (c("common") / c("all")).alias("similarity"))
-
-    named = matches.join(items.select("item", "item_id"), "item")
     best = F.max(F.struct(c("similarity"), (-c("start_word")).alias("back"), (-c("distance")).alias("near"), c("n")))
-    found = windows.drop("codes").join(named, ["n", "window"]).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    found = _matches(docs, benchmark, similarity, radius, blocks, broadcast_rows).groupBy("doc_id", "item_id").agg(best.alias("best"))
     return found.select("doc_id", "item_id", c("best.n").alias("n_words"), (-c("best.back")).alias("start_word"), c("best.similarity").alias("similarity"), (-c("best.near")).alias("distance"))
 
 
@@ -158,9 +198,15 @@ def _choose(n: int, k: int) -> int:
     return comb(n, k)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **settings) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id isn't that of a contaminated document; rows with a null doc_id are held against each other's matches."""
-    gone = cut(contaminations(docs, benchmark, broadcast_rows=broadcast_rows, **settings).select("doc_id").distinct()).withColumnRenamed("doc_id", "gone_id")
+@tidy
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, similarity: int = 80, radius: int = 19, blocks: int = 5) -> DataFrame:
+    """The rows of docs, all columns, that hold no benchmark item. Decisions are taken by row: of rows that share a doc_id, or have none, only
+    those whose own text holds an item go. Columns may clash with each other in other case; an empty table or benchmark takes nothing away."""
+    names = docs.columns
+    exact = lambda x: next(f"c{i}" for y in (x, x.lower()) for i, n in enumerate(names) if n == y or (y != x or x not in names) and n.lower() == x)
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    gone = cut(_matches(only(docs, "doc_id", "text"), benchmark, similarity, radius, blocks, broadcast_rows).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    same = F.col(exact("doc_id")).eqNullSafe(F.col("gone_id")) & (F.xxhash64(exact("text")) == F.col("gone_key"))
+    return flat.join(gone, same, "left_anti").toDF(*names)

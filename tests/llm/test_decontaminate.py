@@ -66,6 +66,21 @@ def test_equals_brute_force(spark, docs):
     assert kept == {d for d, _ in rows} - {d for d, *_ in want}
 
 
+def test_a_very_long_item_and_rows_of_one_id(spark, docs):
+    """An item of 3 000 words beside short ones; a row with the same id, and one without, are judged by their own texts."""
+    rng = random.Random(12)
+    vocabulary = [f"{c}word{'long' * (c % 3)}" for c in range(400)]
+    long_ = [rng.choice(vocabulary) for _ in range(3000)]
+    other = [rng.choice(vocabulary) for _ in range(700)]
+    rows = [(1, " ".join(other + long_ + other)), (1, " ".join(other)), (2, " ".join(long_[:2000])), (3, " ".join(long_[40:])), (None, " ".join(other[:30])), (None, "quite another text than that")]
+    bench = [(0, " ".join(long_)), (1, " ".join(other[:30]))]
+    items = spark.createDataFrame(bench, BENCH)
+    found = {(r.doc_id, r.item_id): (r.n_words, r.start_word) for r in contaminations(docs(rows), items).collect()}
+    assert found == {(1, 0): (3000, 700), (1, 1): (30, 0), (3, 0): (3000, 0), (None, 1): (30, 0)}
+    kept = decontaminate(docs(rows).withColumn("DOC_ID2", F.lit(1)), items).collect()
+    assert sorted((str(r.doc_id), len(r.text)) for r in kept) == sorted([("2", len(rows[2][1])), ("None", len(rows[5][1]))])
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], BENCH)
     assert contaminations(docs([(1, "a b c d e f")]), none).count() == 0
