@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -59,6 +60,49 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(bpe.decode(ids).decode() == want[i] for i, ids in got.items())
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, gone_id int, `group` int"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), "clash", 1, 2) for d, t in rows], ODD)
+
+
+def benchmark_at(tmp_path, rows):
+    pq.write_table(pa.table({"item_id": pa.array([b[0] for b in rows], pa.int64()), "text": pa.array([b[1] for b in rows], pa.string())}), tmp_path / "benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    base = "some words that make up a document of a fair length which nobody else has written before now"
+    other, item = "an entirely different text about rivers and mountains and the towns that lie between them", "a benchmark passage of more than five words"
+    rows = [(5, base), (5, other), (7, base + " x"), (None, base), (None, item + " and more"), (None, other + " y y y y y y y"), (8, "zz"), (8, "zz"), (9, None), (9, None), (10, "")]
+    kept = sorted([(r.doc_id, r.text) for r in C.near_duplicates(spark, odd(spark, rows), "").collect()], key=str)
+    assert kept == sorted([(5, base), (5, other), (None, item + " and more"), (None, other + " y y y y y y y"), (8, "zz"), (9, None), (9, None), (10, "")], key=str)
+    d = benchmark_at(tmp_path, [(1, item), (2, None)])
+    clean = C.benchmark_decontamination(spark, odd(spark, rows), d).collect()
+    assert sorted([(r.doc_id, r.text) for r in clean], key=str) == sorted([r for r in rows if r[1] != item + " and more"], key=str)
+    lines = C.line_dedup(spark, odd(spark, [*rows, (11, f"{base}\n{other}"), (12, base)]), d).collect()
+    got = sorted([(r.doc_id, r.text) for r in lines], key=str)
+    want = [(i, t) for i, _, _, t in lines_left([*rows, (11, f"{base}\n{other}"), (12, base)]) if t.strip()]
+    assert got == sorted(want, key=str)
+    assert sorted(r.n_tokens for r in C.tokens(spark, odd(spark, rows), d).collect())[:3] == [0, 0, 0]
+    assert C.language_id(spark, odd(spark, [*rows, (None, None)]), d).filter("text IS NULL OR text = ''").count() == 0
+
+
+def test_empty_tables_stay_empty(spark, tmp_path):
+    d = benchmark_at(tmp_path, [])
+    for name, stage in C.STAGES:
+        assert stage(spark, odd(spark, []), d).count() == 0, name
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    held = lambda: {x for x in os.listdir(folder) if x.startswith("contentprint-")}
+    before = held()
+    out = C.near_duplicates(spark, odd(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x")]), "")
+    assert len(held() - before) <= 3 and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def test_token_stage_decodes_every_text(spark):
     texts = {1: "plain text\nof two lines", 2: "été 東京 👍🏽 \t  end ", 3: "", 4: "a" * 5000}
     rows = C.tokens(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
