@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentprint.llm.byte_bpe import encode_texts
-from contentprint.llm.common import cut, read
+from contentprint.llm.common import cut, only, read, tidy
 from contentprint.llm.decontaminate import decontaminate
 from contentprint.llm.langid import UNDETERMINED, held_out, predict, train
 from contentprint.llm.line_dedup import dedup_lines
-from contentprint.llm.ngram_join import link_documents
+from contentprint.llm.ngram_join import one_of_each
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents of a calibrated probability below this are in no known language.
@@ -19,38 +19,46 @@ LEAST_SCORE = 0.5
 #: Language identification learns from the rows, which SQL can't express.
 ORACLE_SQL = None
 
+# All stages take decisions by row, so that rows that share a doc_id, or have none, are documents of their own; repeated rows are equal documents.
+# Extra columns go, also where their names clash with those of documents. An empty table stays empty.
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language that is likelier than all others together, go; the rest get the language found."""
+    """Documents without letters, or of no language that is likelier than all others together, go; the rest get the language found.
+
+    Null and empty texts have no letters. Null labels aren't learnt from; without any label all rows go. Of equally likely languages
+    that which sorts first holds.
+    """
+    docs = only(docs, *COLUMNS)
     model = train(docs.filter(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
-    found = predict(docs.select(*COLUMNS), model)
+    found = predict(docs, model)
     kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated lines; documents that have nothing else go."""
-    out = dedup_lines(docs.select(*COLUMNS), keep=("lang", "source", "n_chars"))
+    """Texts lose their repeated lines; documents that have nothing else, or had nothing (null, empty or blank), go.
+
+    Here rows of one doc_id, or without any, count as one document when a line's documents are counted, and keep or lose a line together.
+    """
+    out = dedup_lines(docs, keep=("lang", "source", "n_chars"))
     out = out.filter(F.length(F.trim("kept")) > 0)
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest doc_id stays."""
-    groups = link_documents(docs, k=5, num=80, den=100)
-    gone = cut(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    if gone.count() <= 1_000_000:
-        gone = F.broadcast(gone)
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest doc_id stays, a null one last; of
+    rows with one doc_id that with the smallest hash of its text; of equal rows one. Texts without words are linked with nothing and stay."""
+    return one_of_each(docs, COLUMNS, k=5, num=80, den=100)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item go. Null and empty texts hold none."""
+    return decontaminate(only(docs, *COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents that are left, as little-endian unsigned 32-bit integers, with their number and the SHA-256 of what they decode to."""
+    """Token ids of the documents that are left, as little-endian unsigned 32-bit integers, with their number and the SHA-256 of what they decode to. Null texts have no ids."""
     import public_tokenizers
 
     return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=("decoded",))
@@ -65,10 +73,9 @@ STAGES = [
 ]
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = tidy(lambda stage=stage, docs=docs: cut(stage(spark, docs, sf_dir)))()
+    return STAGES[-1][1](spark, docs, sf_dir)
