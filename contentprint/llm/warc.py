@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import json
 import re
 import uuid
@@ -17,8 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only
-from .html_text import blocks_of
+from .common import only, parts
+from .html_text import NAME, RAW_TAGS, Scanner, blocks_of
 
 VERSION = "WARC/1.1"
 #: Names of records without an id are made from their content under this namespace.
@@ -53,33 +54,91 @@ def serialize(headers: dict[str, str], block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def _unpacked(data) -> Iterator[bytes]:
+    """The content of a buffer in pieces, gzip members unpacked one after another; a member that is corrupt ends it after what it gave."""
+    view, at = memoryview(data).cast("B"), 0
+    if view[:2] != b"\x1f\x8b":
+        for at in range(0, len(view), 1 << 20):
+            yield bytes(view[at : at + (1 << 20)])
+        return
+    while view[at : at + 2] == b"\x1f\x8b":
+        member, step = zlib.decompressobj(31), 1 << 10
+        while not member.eof and at < len(view):
+            piece = view[at : at + step]  # pieces grow, so that small members cost little and large ones few calls
+            try:
+                out = member.decompress(piece)
+            except zlib.error:
+                return
+            at += len(piece) - len(member.unused_data)
+            step = min(2 * step, 1 << 18)
+            if out:
+                yield out
+
+
+class _Feed:
+    """What is left of a content that comes in pieces; only a record at a time is held."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, bytearray()
+
+    def _more(self) -> bool:
+        piece = next(self.pieces, None)
+        self.held += piece or b""
+        return piece is not None
+
+    def starts(self, mark: bytes) -> bool:
+        while len(self.held) < len(mark) and self._more():
+            pass
+        return self.held.startswith(mark)
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self._more():
+            pass
+        out = bytes(memoryview(self.held)[:n])
+        del self.held[:n]
+        return out
+
+    def before(self, mark: bytes) -> bytes | None:
+        """What stands before the mark, None (and nothing taken) if it doesn't come."""
+        at = 0
+        while (found := self.held.find(mark, at)) < 0:
+            at = max(0, len(self.held) - len(mark) + 1)
+            if not self._more():
+                return None
+        return self.take(found)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record; gzip members are unpacked. What isn't a record ends the reading."""
-    if data[:2] == b"\x1f\x8b":
-        out, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(rest) + member.flush())
-            rest = member.unused_data
-        data = b"".join(out)
-    at = 0
-    while data[at : at + 5] == b"WARC/":
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+    """(headers, block) of each record; gzip members are unpacked. What isn't a record ends the reading.
+
+    A block that the file doesn't hold whole, as it ends or is corrupt, gets the field WARC-Truncated. A record whose length isn't a
+    number reaches to the next record.
+    """
+    feed = _Feed(_unpacked(data))
+    while feed.starts(b"WARC/"):
+        head = feed.before(b"\r\n\r\n")
+        if head is None:
             return
+        feed.take(4)
         headers: dict[str, str] = {}
         last = ""
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            if line[:1] in " \t" and last:
+        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+            if line[:1] in (" ", "\t") and last:
                 headers[last] += " " + line.strip()
             elif ":" in line:
                 last, value = line.split(":", 1)
                 headers[last := last.strip()] = value.strip()
-        size = int(next((v for k, v in headers.items() if k.lower() == "content-length"), 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        size = field(headers, "Content-Length").strip()
+        if re.fullmatch(r"[0-9]{1,18}", size):
+            block = feed.take(int(size))
+            if len(block) < int(size):
+                headers.setdefault("WARC-Truncated", "unspecified")
+        else:
+            block = feed.before(b"\r\n\r\nWARC/")
+            block = feed.take(1 << 62) if block is None else block
+        yield headers, block
+        while feed.starts(b"\r\n"):
+            feed.take(2)
 
 
 def field(headers: dict[str, str], name: str) -> str:
@@ -95,45 +154,129 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)}, body
 
 
-def _charset(headers: dict[str, str]) -> str:
-    m = re.search(r"charset\s*=\s*\"?([\w.:-]+)", field(headers, "Content-Type"), re.IGNORECASE)
-    try:
-        return b"".decode(m[1]) or m[1] if m else "utf-8"
-    except (LookupError, ValueError):
-        return "utf-8"
+# Codecs that aren't character sets of texts, or cost more than time in proportion.
+NOT_CHARSETS = frozenset("idna mbcs oem punycode raw_unicode_escape undefined unicode_escape".split())
 
 
-def plain_text(body: bytes, http: dict[str, str]) -> str:
-    text = body.decode(_charset(http), "replace")
+def decoded(body: bytes, http: dict[str, str]) -> str:
+    """The body's characters under the charset that its type names; UTF-8 under none or an unknown one. What doesn't decode becomes U+FFFD."""
+    m = re.search(r"charset\s*=\s*\"?([\w.:-]+)", field(http, "Content-Type"), re.IGNORECASE)
+    name = m[1].lower().replace("-", "_") if m else "utf_8"
+    try:
+        return body.decode("utf_8" if name in NOT_CHARSETS else name, "replace")
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A chunked body's content; as far as it can be read."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            return body if not out else b"".join(out)
+        n = int(size, 16)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+        if not n:
+            break
+    return b"".join(out) if out else body
+
+
+def _inflated(body: bytes, bits: tuple[int, ...]) -> bytes | None:
+    for window in bits:
+        tool = zlib.decompressobj(window)
+        out = []
+        try:
+            for at in range(0, len(body), 1 << 16):
+                out.append(tool.decompress(body[at : at + (1 << 16)]))
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return None if body else b""
+
+
+def content(body: bytes, http: dict[str, str]) -> bytes | None:
+    """The body without its transfer and content codings, as far as they can be undone; None for a coding that can't be undone here."""
+    if "chunked" in field(http, "Transfer-Encoding").lower():
+        body = _unchunked(body)
+    for coding in reversed([x.strip() for x in field(http, "Content-Encoding").lower().split(",")]):
+        if coding in ("gzip", "x-gzip") and body[:2] == b"\x1f\x8b":
+            body = b"".join(_unpacked(body))
+        elif coding == "deflate":
+            body = _inflated(body, (15, -15))
+        elif coding == "zstd":
+            import zstandard
+
+            try:
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            except zstandard.ZstdError:
+                body = None
+        elif coding not in ("", "identity", "gzip", "x-gzip"):  # crawlers often undo gzip and leave the header
+            body = None
+        if body is None:
+            return None
+    return body
+
+
+# Types without a page whose content is text.
+TEXT_TYPES = frozenset(("application/json", "application/ld+json", "application/xml", "application/javascript"))
+PAGE_TYPES = frozenset(("", "text/html", "application/xhtml+xml"))
+
+
+def plain_text(page: str, http: dict[str, str]) -> str:
+    """The text of a page, block by block; texts of other types as they are; nothing of what isn't text."""
     kind = field(http, "Content-Type").split(";")[0].strip().lower()
-    return text if kind.startswith("text/") and kind != "text/html" else "\n".join(b.text for b in blocks_of(text))
-
-
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.IGNORECASE | re.DOTALL)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HTML_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
+    if kind in PAGE_TYPES:
+        return "\n".join(b.text for b in blocks_of(page))
+    return page if kind.startswith("text/") or kind in TEXT_TYPES else ""
+
+
+HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+LANG = re.compile(r"""\blang\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
+
+
+def page_facts(page: str) -> tuple[str, str, list[str]]:
+    """Title, language and outlinks of a page, outside scripts and comments."""
+    title, lang, links, scanner = "", "", [], Scanner(page)
+    for kind, token in scanner:
+        if kind != "tag" or token[1] == "/":
+            continue
+        name = NAME.match(token)[1].lower()
+        if name == "title":
+            start = scanner.at
+            end = page.find("<", start)
+            title = title or " ".join(html.unescape(page[start : end if end >= 0 else len(page)]).split())
+        elif name in RAW_TAGS:
+            scanner.skip(name)
+        elif name == "html" and not lang and (m := LANG.search(token)):
+            lang = m[1]
+        elif name == "a" and (m := HREF.search(token)):
+            links.append(html.unescape(m[1] or m[2] or m[3] or ""))
+    return title, lang, links
 
 
 def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The metadata record and the conversion record of a response."""
-    import html
-
     status, http, body = split_http(block)
     source = field(headers, "WARC-Record-ID") or record_id("response", field(headers, "WARC-Target-URI"), block)
     payload = field(headers, "WARC-Payload-Digest") or digest(body)
-    page = body.decode(_charset(http), "replace")
-    title, lang = TITLE.search(page), HTML_LANG.search(page)
+    raw = content(body, http)
+    page = "" if raw is None else decoded(raw, http)
+    title, lang, links = page_facts(page) if field(http, "Content-Type").split(";")[0].strip().lower() in PAGE_TYPES else ("", "", [])
+    truncated = field(headers, "WARC-Truncated")
     facts = {
         "source-record-id": source, "source-block-digest": field(headers, "WARC-Block-Digest") or digest(block), "source-payload-digest": payload,
-        "source-content-type": field(headers, "Content-Type"), "http-status": status, "http-headers": json.dumps(http, ensure_ascii=False),
-        "title": " ".join(html.unescape(title[1]).split()) if title else "", "html-lang": lang[1] if lang else "", "payload-length": str(len(body)),
+        "source-content-type": field(headers, "Content-Type"), "source-truncated": truncated, "http-status": status, "http-headers": json.dumps(http, ensure_ascii=False),
+        "coding-not-undone": field(http, "Content-Encoding") if raw is None else "", "title": title, "html-lang": lang, "payload-length": str(len(body)),
     }
-    lines = [f"{k}: {v}" for k, v in facts.items() if v] + [f"outlink: {html.unescape(next((x for x in m if x), ''))}" for m in LINK.findall(page)]
-    shared = {"WARC-Refers-To": source, "WARC-Target-URI": field(headers, "WARC-Target-URI"), "WARC-Date": field(headers, "WARC-Date") or UNDATED, "WARC-IP-Address": field(headers, "WARC-IP-Address"), "WARC-Warcinfo-ID": field(headers, "WARC-Warcinfo-ID")}
+    lines = [f"{k}: {v}" for k, v in facts.items() if v] + [f"outlink: {x}" for x in links]
+    shared = {"WARC-Refers-To": source, "WARC-Target-URI": field(headers, "WARC-Target-URI"), "WARC-Date": field(headers, "WARC-Date") or UNDATED, "WARC-IP-Address": field(headers, "WARC-IP-Address"), "WARC-Warcinfo-ID": field(headers, "WARC-Warcinfo-ID"), "WARC-Truncated": truncated}
     out = []
-    for kind, mime, raw in (("metadata", "application/warc-fields", ("\r\n".join(re.sub(r"[\r\n]+", " ", x) for x in lines) + "\r\n").encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", plain_text(body, http).encode("utf-8", "replace"))):
-        fields = {"WARC-Type": kind, "WARC-Record-ID": record_id(kind, source, raw), **shared, "WARC-Source-Payload-Digest": payload, "Content-Type": mime}
-        out.append((headers_of(fields, raw), raw))
+    for kind, mime, made in (("metadata", "application/warc-fields", ("\r\n".join(re.sub(r"[\r\n]+", " ", x) for x in lines) + "\r\n").encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", plain_text(page, http).encode("utf-8", "replace"))):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": record_id(kind, source, made), **shared, "WARC-Source-Payload-Digest": payload, "Content-Type": mime}
+        out.append((headers_of(fields, made), made))
     return out
 
 
@@ -148,26 +291,36 @@ def responses(pages: DataFrame, date: str = UNDATED) -> DataFrame:
     """page_id, headers (JSON object) and block of a response record for every page. Null urls and html count as empty; repeated pages give equal records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "html"):
             made = [_response(url or "", page or "", date) for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)]
             yield pa.record_batch({"page_id": batch["page_id"], "headers": pa.array([json.dumps(h) for h, _ in made], pa.string()), "block": pa.array([b for _, b in made], pa.binary())})
 
     return only(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, headers string, block binary")
 
 
+def _headers(text: str | None) -> dict[str, str]:
+    """The fields of a JSON object; none of what isn't one."""
+    try:
+        found = json.loads(text or "{}")
+    except ValueError:
+        return {}
+    return {k: v if isinstance(v, str) else "" if v is None else json.dumps(v) for k, v in found.items()} if isinstance(found, dict) else {}
+
+
 def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Two rows for every response record of (key, headers as a JSON object, block): key, warc_type, record_id, refers_to, target_uri, content_type,
     source_digest (of the response's payload), headers, block.
 
-    Other record types are passed over. A record without an id gets one from its content; null headers or blocks count as empty, and a record without
-    a type is a response. Repeated records give repeated rows with equal ids. Extra columns are ignored; an empty table gives an empty result.
+    Other record types are passed over. A record without an id gets one from its content; null headers or blocks, and headers that aren't a JSON object,
+    count as empty, and a record without a type is a response. Chunked, gzip, deflate and zstd bodies are unpacked; other codings, and types that
+    aren't text, give an empty conversion record. Unknown charsets count as UTF-8. Repeated records give repeated rows with equal ids. Extra columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "block"):
             rows = []
             for k, head, block in zip(*[batch[c].to_pylist() for c in (key, "headers", "block")], strict=True):
-                headers = json.loads(head or "{}")
+                headers = _headers(head)
                 if (field(headers, "WARC-Type") or "response").lower() == "response":
                     rows += [(k, h, raw) for h, raw in derivatives(headers, block or b"")]
             names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "content_type": "Content-Type", "source_digest": "WARC-Source-Payload-Digest"}
@@ -184,11 +337,24 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """path, position, headers, block of all records of files (path, content), as spark.read.format("binaryFile") gives them."""
+    """path, position, headers, block of all records of files (path, content), as spark.read.format("binaryFile") gives them (files of up to 2 GB).
+
+    Records leave in small batches: beside the file itself a task holds few of them. Null contents and files that are no archive have no records.
+    """
+
+    def table(path: str, rows: list) -> pa.RecordBatch:
+        return pa.record_batch({"path": pa.array([path] * len(rows), pa.string()), "position": pa.array([r[0] for r in rows], pa.int64()), "headers": pa.array([json.dumps(r[1]) for r in rows], pa.string()), "block": pa.array([r[2] for r in rows], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, i, json.dumps(h), b) for p, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True) for i, (h, b) in enumerate(parse(data or b""))]
-            yield pa.record_batch({"path": pa.array([r[0] for r in rows], pa.string()), "position": pa.array([r[1] for r in rows], pa.int64()), "headers": pa.array([r[2] for r in rows], pa.string()), "block": pa.array([r[3] for r in rows], pa.binary())})
+        for batch in parts(batches, "content"):
+            for path, data in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                rows, size = [], 0
+                for i, (headers, block) in enumerate(parse(data.as_buffer() if data.is_valid else b"")):
+                    rows.append((i, headers, block))
+                    size += len(block)
+                    if size > 4 << 20:
+                        yield table(path, rows)
+                        rows, size = [], 0
+                yield table(path, rows)
 
     return only(files, "path", "content").mapInArrow(run, "path string, position long, headers string, block binary")

@@ -4,11 +4,13 @@ import hashlib
 import html
 import json
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from contentprint.llm.html_text import extract_text, main_text
-from contentprint.llm.warc import derive, field, parse, read_warc, responses, serialize
+from contentprint.llm.warc import derivatives, derive, field, parse, read_warc, responses, serialize
 
 PAGES = "page_id long, url string, html string"
 P = "This is the first long paragraph of the article and it has many of the words that are in any text. " * 3
@@ -32,7 +34,36 @@ def test_main_text():
 def test_long_and_broken_pages():
     assert main_text("<div>" * 20_000 + P) == P.strip()
     assert main_text(f"<article>{'<p>' + P}" * 500) == " ".join([P.strip()] * 500)
-    assert main_text("<" * 5000) != "x"
+    assert main_text("<" * 5000) == ""
+
+
+RU = "Это первый длинный абзац статьи о реках и горах и городах между ними, и в нём много слов, которые есть в любом тексте на этом языке. " * 3
+ZH = "这是一篇关于河流和山脉以及它们之间城镇的文章的第一个长段落里面有许多任何文本中都会出现的词语。" * 5
+
+
+def test_furniture_that_holds_the_article():
+    for page in (f'<div class="page has-sidebar"><article><p>{P}</p></article></div>', f'<div class="sidebar-layout"><article><p>{P}</p></article></div>', f'<form id="aspnetForm"><article><p>{P}</p></article></form>',
+                 f'<form id="aspnetForm"><div><p>{P}</p></div></form>', f'<div class="tags"><div id="comments-page"><main><p>{P}</p></main><div class="comments"><p>{P}</p></div></div></div>'):
+        assert main_text(page) == P.strip(), page
+    card = f'<article><p>{P}</p></article><div class="related"><article><p>Other {P}</p></article></div>'
+    assert main_text(card) == main_text(f'<div class="has-sidebar">{card}</div>') == P.strip()
+    assert main_text(f'<nav><article><p>{P}</p></article></nav>') == ""
+    own = f'<article><header class="entry-header"><h1>The title of this one</h1></header><p>{P}</p><p>It is <math>a + b</math> and so on</p></article>'
+    assert main_text(own) == f"The title of this one {P.strip()} It is a + b and so on"
+
+
+def test_languages_without_stop_words():
+    menu = '<div class="menu"><a href="/">x</a></div><div><a href="/a">ссылка на другую страницу этого сайта, очень длинная ссылка на другую страницу</a></div>'
+    for text in (RU, ZH):
+        assert main_text(f"<body>{menu}<div><p>{text}</p></div></body>") == text.strip() == main_text(f"<article><p>{text}</p></article>")
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, '<a "' * 250_000, '<a x="' * 170_000, "<a x='>" * 150_000 + ">", "<div>" * 100_000 + "</b>" * 120_000, "<head>" * 170_000, "<script>" * 120_000, "</script" * 120_000, "<!--" * 250_000, "<" * 1_000_000, "<p class='" * 100_000 + ">", "<title" * 170_000, "&" * 1_000_000])
+def test_broken_pages_of_a_megabyte(page):
+    began = time.process_time()
+    main_text(page)
+    derivatives({}, b"HTTP/1.1 200 OK\r\n\r\n" + page.encode())
+    assert time.process_time() - began < 8
 
 
 def test_extraction_table(spark):
@@ -80,3 +111,54 @@ def test_round_trip_of_files(spark, tmp_path):
     assert derive(found.withColumn("page_id", F.col("position"))).filter("warc_type = 'conversion'").count() == 10
     no_id = spark.createDataFrame([(1, None, bytearray(b"plain <b>x</b>"))], "page_id long, headers string, block binary")
     assert {r.warc_type for r in derive(no_id).collect()} == {"metadata", "conversion"}
+
+
+def record(body, *heads, block=None, **fields):
+    block = b"HTTP/1.1 200 OK\r\n" + "".join(f"{h}\r\n" for h in heads).encode() + b"\r\n" + body if block is None else block
+    return serialize({"WARC-Type": "response", "WARC-Target-URI": "http://a/", "Content-Length": str(len(block)), **fields}, block)
+
+
+def texts_of(data):
+    return [raw.decode() for headers, block in parse(data) for h, raw in derivatives(headers, block) if h["WARC-Type"] == "conversion"]
+
+
+def test_codings_and_charsets():
+    import zlib
+
+    import zstandard
+
+    page = "<p>é one</p><p>two</p>".encode()
+    chunked = b"5;x=1\r\n" + page[:5] + b"\r\n%x\r\n" % len(page[5:]) + page[5:] + b"\r\n0\r\n\r\n"
+    html_ = "Content-Type: text/html"
+    for data in (record(page, html_), record(chunked, html_, "Transfer-Encoding: chunked"), record(gzip.compress(page), html_, "Content-Encoding: gzip"), record(page, "Content-Encoding: gzip"),
+                 record(zlib.compress(page), html_, "Content-Encoding: deflate"), record(zlib.compress(page)[2:-4], "Content-Encoding: deflate"), record(zstandard.compress(page), "Content-Encoding: zstd"),
+                 record(page, "Content-Type: text/html; charset=idna"), record(page, "Content-Type: text/html; charset=nosuch"), record(page, "Content-Type: text/html; charset=hex"), record(page, "Content-Type: text/html; charset=punycode"),
+                 record("<p>é one</p><p>two</p>".encode("latin-1"), "Content-Type: text/html; charset=ISO-8859-1")):
+        assert texts_of(data) == ["é one\ntwo"], data
+    assert texts_of(record(b"\x01\x02", "Content-Encoding: br")) == texts_of(record(b"\x89PNG", "Content-Type: image/png")) == texts_of(record(b"broken", "Content-Encoding: zstd")) == [""]
+    assert texts_of(record(b"a <b> c", "Content-Type: text/plain")) == ["a <b> c"]
+
+
+def test_broken_archives(spark):
+    good = record(b"<p>fine</p>")
+    (headers, block), = parse(good[:-14])
+    assert headers["WARC-Truncated"] == "unspecified" and len(block) < int(headers["Content-Length"])
+    assert "source-truncated: unspecified" in derivatives(headers, block)[0][1].decode()
+    assert texts_of(record(b"<p>odd</p>", **{"Content-Length": "many"}) + good) == ["odd", "fine"] == texts_of(record(b"<p>odd</p>", **{"Content-Length": "-4"}) + good)
+    packed = gzip.compress(good)
+    assert texts_of(packed + packed[:20] + b"\x00" * 30) == ["fine"] and texts_of(packed + b"junk") == ["fine"]
+    assert list(parse(gzip.compress(good * 3)[:40])) == []
+    files = spark.createDataFrame([("a", bytearray(packed * 3)), ("b", None), ("c", bytearray(b""))], "path string, content binary")
+    assert read_warc(files).count() == 3
+    rows = [(1, "{not json", bytearray(b"<p>x</p>")), (2, "[1]", None), (3, '{"WARC-Type": 7}', bytearray(b"")), (4, '{"WARC-Target-URI": null}', bytearray(b"HTTP/1.1"))]
+    out = derive(spark.createDataFrame(rows, "page_id long, headers string, block binary")).collect()
+    assert sorted({r.page_id for r in out}) == [1, 2, 4]
+
+
+def test_many_small_members_and_a_long_page():
+    began = time.process_time()
+    member = gzip.compress(record(b"<p>x</p>"))
+    assert sum(1 for _ in parse(member * 20_000)) == 20_000
+    long_ = b"<p>" + b"word " * 2_000_000 + b"</p>"
+    assert len(texts_of(record(long_))[0]) == 10_000_000 - 1
+    assert time.process_time() - began < 20
