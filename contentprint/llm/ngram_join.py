@@ -33,8 +33,9 @@ SLICE = 1 << 16
 MOST_COUNTERS = 1 << 22
 MOST_BLOOM_BITS = 1 << 26
 REMEMBERED = 100_000
-#: Classes of a bucket up to which all that are in different components meet at once; a larger bucket is split by a further n-gram.
-SMALL_BUCKET = 512
+#: Classes of a bucket up to which all that are in different components meet at once; a larger bucket is split by a further n-gram. Groups of
+#: some thousand near copies of which few link share most n-grams, so that a split takes rounds and rules nothing out: they stay below.
+SMALL_BUCKET = 8192
 #: n-grams counted this often and more (as logged by the counters) have their bucket dealt to SALTS tasks.
 HOT_CODE, SALTS = 24, 32
 _MULT = np.uint64(0x9E3779B97F4A7C15)
