@@ -2,7 +2,7 @@
 
 Every window of 64 bytes has an entropy. Windows whose entropy level is rare over all documents rank first; a window that
 ranks first in enough neighbourhoods of 64 windows is a feature. Features go in order into Bloom filters of 2048 bits, a new
-one after every 160. Two digests are as alike as the bits of their filters overlap beyond chance.
+one after every 160. Short texts have features of 16 bytes besides, chosen alike. Two digests are as alike as the bits of their filters overlap beyond chance.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import only, sum_arrays
 WINDOW = 64
 PAD = 2 * WINDOW
 POPULAR = 16
+#: Texts of fewer bytes also have features of SHORT_WINDOW bytes.
+SHORT, SHORT_WINDOW = 1024, 16
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 LEVELS = 1000
 #: Windows of a lower entropy level (of 1000) say nothing and are never features.
@@ -34,36 +36,36 @@ _G = np.rint(_C * np.log2(np.maximum(_C, 1)) * _SCALE).astype(np.int64)
 _STEP = np.diff(_G)
 
 
-def entropy_levels(buf: np.ndarray) -> np.ndarray:
+def entropy_levels(buf: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The entropy of each window of buf in thousandths of the largest."""
     n = len(buf)
     order = np.argsort(buf, kind="stable")
     key = (buf[order].astype(np.int64) << 40) | order
-    lo = np.searchsorted(key, key - (WINDOW - 1))
+    lo = np.searchsorted(key, key - (window - 1))
     at = np.arange(n)
     before, after = np.empty(n, np.int64), np.empty(n, np.int64)
-    before[order] = at - lo  # the byte's occurrences in the 63 bytes before, and after
+    before[order] = at - lo  # the byte's occurrences in the rest of a window before, and after
     after[order] = np.cumsum(np.bincount(lo, minlength=n)) - 1 - at
-    first = _G[np.bincount(buf[:WINDOW], minlength=256)].sum()
-    sums = np.empty(n - WINDOW + 1, np.int64)
+    first = _G[np.bincount(buf[:window], minlength=256)].sum()
+    sums = np.empty(n - window + 1, np.int64)
     sums[0] = first
-    sums[1:] = first + np.cumsum(_STEP[before[WINDOW:]] - _STEP[after[: n - WINDOW]])
-    top = _G[WINDOW]
+    sums[1:] = first + np.cumsum(_STEP[before[window:]] - _STEP[after[: n - window]])
+    top = _G[window]
     return ((top - sums) * LEVELS // top).astype(np.int32)
 
 
-def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def laid_out(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts in one buffer with padding around each, their starts, and which windows lie within a text."""
     starts, at = [], PAD
     for t in texts:
         starts.append(at)
         at += len(t) + PAD
     buf = np.zeros(at, np.uint8)
-    inside = np.zeros(at - WINDOW + 1, bool)
+    inside = np.zeros(at - window + 1, bool)
     for s, t in zip(starts, texts, strict=True):
         buf[s : s + len(t)] = np.frombuffer(t, np.uint8)
-        if len(t) >= WINDOW:
-            inside[s : s + len(t) - WINDOW + 1] = True
+        if len(t) >= window:
+            inside[s : s + len(t) - window + 1] = True
     return buf, np.array(starts), inside
 
 
@@ -90,30 +92,36 @@ class Digester:
         return [x for group in groups(texts) for x in self._group(group)]
 
     def _group(self, texts: list[bytes]) -> list[bytes]:
-        buf, starts, inside = laid_out(texts)
-        levels = entropy_levels(buf)
+        found = self._features(texts, WINDOW)
+        short = [i for i, t in enumerate(texts) if len(t) < SHORT]
+        if short:
+            for i, own in zip(short, self._features([texts[i] for i in short], SHORT_WINDOW), strict=True):
+                found[i] = np.concatenate([found[i], own])
+        for i, t in enumerate(texts):
+            if not len(found[i]) and t:  # too short or too plain for features: the whole text is the feature
+                found[i] = np.frombuffer(hashlib.sha256(t).digest()[:8], "<u8")
+        return [_chained(own) for own in found]
+
+    def _features(self, texts: list[bytes], window: int) -> list[np.ndarray]:
+        """Hashes of each text's windows that rank first in a quarter of their neighbourhoods."""
+        buf, starts, inside = laid_out(texts, window)
+        levels = entropy_levels(buf, window)
         worst = LEVELS + 2
         rank = np.where(inside & (levels >= TRIVIAL), self.ranks[levels], worst)
         width = max(20, int(len(buf)).bit_length())
         key = (rank << width) | np.arange(len(rank))
         if width <= 20:
             key = key.astype(np.int32)
-        low = key
-        for s in (1, 2, 4, 8, 16, 32):
-            low = np.minimum(low[:-s], low[s:])
+        low, s = key, 1
+        while s < window:
+            low, s = np.minimum(low[:-s], low[s:]), 2 * s
         best = low & ((1 << width) - 1)
-        popular = np.flatnonzero(np.bincount(best, minlength=len(rank)) >= POPULAR)
+        popular = np.flatnonzero(np.bincount(best, minlength=len(rank)) >= POPULAR * window // WINDOW)
         popular = popular[rank[popular] < worst]
-        windows = np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[popular]
+        windows = np.lib.stride_tricks.sliding_window_view(buf, window)[popular]
         hashes = _hashed(np.ascontiguousarray(windows).view("<u8"))
         edges = np.searchsorted(popular, [*starts, len(buf)])
-        out = []
-        for i, t in enumerate(texts):
-            own = hashes[edges[i] : edges[i + 1]]
-            if not len(own) and t:  # too short or too plain for features: the whole text is the feature
-                own = np.frombuffer(hashlib.sha256(t).digest()[:8], "<u8")
-            out.append(_chained(own))
-        return out
+        return [hashes[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _hashed(words: np.ndarray) -> np.ndarray:
@@ -185,13 +193,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     Documents with one doc_id come by their text; those without a doc_id come last.
     """
     docs, _ = _ranged(only(docs, "doc_id", "text"))
-    heads = {r["bucket"]: r["head"] for r in docs.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # at most MOST_RANGES rows
-    held = sorted(heads)
+    found = {r["bucket"]: r["head"] for r in docs.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # at most MOST_RANGES rows
+    held = sorted(found)
     spark = docs.sparkSession
     to = spark.createDataFrame([(b, held[(i + 1) % len(held)]) for i, b in enumerate(held)], "bucket int, host int")
-    head = spark.createDataFrame([(b, h) for b, h in heads.items()], "bucket int, head long")
+    head = spark.createDataFrame([(b, h) for b, h in found.items()], "bucket int, head long")
     lead = F.broadcast(head.join(to, "bucket").select(F.col("bucket").alias("from"), "head", "host"))
-    guests = docs.join(lead, (docs["bucket"] == lead["from"]) & docs["doc_id"].eqNullSafe(lead["head"])).select(F.col("host").alias("bucket"), F.lit(1).alias("guest"), "doc_id", "text")
+    heads = docs.join(lead, (docs["bucket"] == lead["from"]) & docs["doc_id"].eqNullSafe(lead["head"]))
+    first = heads.groupBy("host").agg(F.min(F.struct("text")).alias("first"), F.max("doc_id").alias("doc_id"))  # one row, however often its id occurs
+    guests = first.select(F.col("host").alias("bucket"), F.lit(1).alias("guest"), "doc_id", F.col("first.text").alias("text"))
     rows = docs.select("bucket", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
     return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
 
