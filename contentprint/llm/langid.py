@@ -22,10 +22,12 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """train_docs, calibration_docs: bounds of the labelled samples. slots: hashed n-grams. The rest belongs to the fit."""
+    """train_docs, calibration_docs: bounds of the labelled samples. languages: the most frequent labels that are told apart, a bound of the
+    classifier's size. slots: hashed n-grams. The rest belongs to the fit."""
 
     train_docs: int = 6000
     calibration_docs: int = 1500
+    languages: int = 1000
     slots: int = 1 << 15
     longest: int = 3
     epochs: int = 2
@@ -146,7 +148,7 @@ def _samples(s: Settings):
 
 def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
     """labelled: doc_id, text, lang (not null). Samples are drawn by a hash of the id, each language alike."""
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(s.slots), np.zeros((s.slots + 1, 0)), 1.0, s)
@@ -157,7 +159,7 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
     wanted = s.train_docs + s.calibration_docs
     share = {lang: min(1.0, wanted / len(languages) / n) for lang, n in sizes.items()}
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) / 1e6
-    quota = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
+    quota = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]  # null, which draws nothing, for other labels
     drawn = labelled.withColumn("draw", draw / quota).filter("draw < 1").select("text", "lang", "draw")
     rows = drawn.mapInArrow(_samples(s), "lang string, draw double, at binary, n binary").orderBy("draw").limit(2 * wanted).collect()
     rows.sort(key=lambda r: (r["draw"], r["lang"], r["at"]))
@@ -175,15 +177,19 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
 
 
 def _temperature(scored: list[tuple[int, np.ndarray]]) -> float:
-    """The temperature of the least log loss, between 1/20 and 20."""
+    """The temperature of the least log loss, between 1/20 and 20. Targets are smoothed by what one more wrong document in each language would
+    add, so that a small sample without errors doesn't make every score a one."""
     if not scored:
         return 1.0
     y, z = np.array([a for a, _ in scored]), np.array([b for _, b in scored])
+    n, k = z.shape
+    target = np.full((n, k), 1 / (n + k))
+    target[np.arange(n), y] = (n + 1) / (n + k)
 
     def loss(log_t: float) -> float:
         x = z / np.exp(log_t)
         m = x.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(x - m).sum(axis=1)) + m[:, 0] - x[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(x - m).sum(axis=1)) + m[:, 0] - (target * x).sum(axis=1)).mean())
 
     lo, hi, ratio = -np.log(20), np.log(20), (np.sqrt(5) - 1) / 2
     while hi - lo > 1e-3:

@@ -3,7 +3,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from contentprint.llm.langid import Settings, _temperature, features, identify
+from contentprint.llm.langid import Model, Settings, _temperature, features, identify
 
 WORDS = {"en": "the and of to thing water house running".split(), "de": "der und die zu ding wasser straße laufen".split(), "fr": "le et de la chose eau maison été".split()}
 
@@ -53,3 +53,21 @@ def test_temperature_softens_overconfidence():
 
     scored = [(0, np.array([9.0, 0.0]))] * 7 + [(1, np.array([9.0, 0.0]))] * 3
     assert _temperature(scored) > 5
+
+
+def test_a_small_sample_without_errors_leaves_doubt():
+    import numpy as np
+
+    scored = [(i % 2, np.array([4.0, -4.0]) * (1 - 2 * (i % 2))) for i in range(60)]
+    t = _temperature(scored)
+    assert t > 0.06 and 0.9 < 1 / (1 + np.exp(-8 / t)) < 0.999
+
+
+def test_ties_go_to_the_first_language_and_rare_labels_are_bounded(docs):
+    import numpy as np
+
+    s = Settings()
+    model = Model(["aa", "bb"], np.ones(s.slots), np.zeros((s.slots + 1, 2)), 1.0, s)
+    assert model.predict("some text") == ("aa", 0.5)
+    data = [*rows(60), (500, "odd label here", "xx")]
+    assert {r.lang_pred for r in identify(docs(data), Settings(languages=3)).collect()} <= set(WORDS)
