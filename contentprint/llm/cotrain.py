@@ -140,6 +140,8 @@ class Model:
     meta: View
     shares: tuple[float, float]
     settings: Settings
+    #: Log losses of the two views on held-out labels before the first exchange and after each one.
+    history: list[tuple[float, float]]
 
 
 def _unpacked(packed: list[bytes], kind: str) -> np.ndarray:
@@ -189,21 +191,22 @@ def _labelled(made: DataFrame, known: DataFrame, s: Settings) -> list:
     drawn = ids.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(s.labelled_docs).collect()
     wanted = made.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in drawn], "doc_id long, quality int")
     rows = made.join(F.broadcast(wanted), "doc_id")  # the bound above is the bound of this side
-    found = {r["doc_id"]: r for r in rows.toLocalIterator()}
-    return [(r["quality"], *_pair(r)) for _, r in sorted(found.items())]
+    one = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("key", "at", "x", "meta")).alias("row"))  # of rows with one id that with the least key
+    return [(r["quality"], *_pair(r["row"])) for r in sorted(one.collect(), key=lambda r: r["doc_id"])]
 
 
-def _sure(made: DataFrame, known: DataFrame, views: list[View], taught: list[dict], s: Settings) -> list[dict]:
+def _sure(made: DataFrame, known: DataFrame, views: list[View], taught: list[dict], s: Settings, prior: float = 0.0) -> list[dict]:
     """For each view the documents it is surest of, {ident: (label, features)}: of all unlabelled ones, per_round at most a label, less those the other view has.
 
-    Equally sure ones go by a hash of the row, so that no source is preferred. ident: doc_id, or key where that is null.
+    prior: log odds of quality 1 among the labelled documents, which are taken off: a view is sure of what it learns from the document, not of the base
+    rate, so that it can teach either label however rare it is. Equally sure ones go by a hash of the row, so that no source is preferred. ident: doc_id, or key where that is null.
     """
     sent = made.sparkSession.sparkContext.broadcast((views, s.confident))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, least = sent.value
         for batch in parts(batches, "x"):
-            p = [np.round(sigmoid(m), 12) for m in _margins(own, batch)]
+            p = [np.round(sigmoid(m - prior), 12) for m in _margins(own, batch)]
             hit = pa.array(np.any([(x >= least) | (1 - x >= least) for x in p], axis=0))
             yield pa.record_batch({"doc_id": batch["doc_id"], "key": batch["key"], "p0": pa.array(p[0]), "p1": pa.array(p[1])}).filter(hit)
 
@@ -233,18 +236,25 @@ def train(made: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
         return None
     views = [View(s.slots + 16, s), View(s.meta_slots, s)]
     taught: list[dict] = [{}, {}]  # ident: (label, features) that the other view gave
-    losses = [1.0, 1.0]
+    losses, history, best = [1.0, 1.0], [], {}
+    share = float(np.mean([d[0] for d in known]))
+    prior = float(np.log(share / (1 - share)))
     for turn in range(s.rounds + 1):
         for v, view in enumerate(views):
             rows = [d[1 + v] for d in known] + [pair[v] for _, pair in taught[v].values()]
             view.fit(rows, [d[0] for d in known] + [y for y, _ in taught[v].values()])
             losses[v] = view.calibrate([d[1 + v] for d in held], [d[0] for d in held])
+            if v not in best or losses[v] <= best[v][0]:
+                best[v] = losses[v], view.w.copy(), view.a, view.b
+        history.append(tuple(losses))
         if turn == s.rounds:
             break
-        for v, own in enumerate(_sure(made, judged, views, taught, s)):
+        for v, own in enumerate(_sure(made, judged, views, taught, s, prior)):
             taught[1 - v] |= own
+    for v, view in enumerate(views):  # an exchange that made a view worse on held-out labels isn't kept
+        losses[v], view.w, view.a, view.b = best[v]
     trust = [max(1e-3, np.log(2) - x) for x in losses]  # what each view knows beyond a coin
-    return Model(views[0], views[1], (trust[0] / sum(trust), trust[1] / sum(trust)), s)
+    return Model(views[0], views[1], (trust[0] / sum(trust), trust[1] / sum(trust)), s, history)
 
 
 @tidy

@@ -39,6 +39,18 @@ def test_likeness_follows_what_is_shared():
     assert likeness(b"", b"") == 1 and likeness(x, b"") == 0
 
 
+def test_short_texts_are_alike_in_part():
+    rng = random.Random(6)
+    digest = Digester(np.random.default_rng(0).permutation(1001))
+    near, far = [], []
+    for _ in range(40):
+        a, b = prose(rng, 14)[:90], prose(rng, 14)[:90]
+        x, y, z = digest([a.encode(), (a[:45] + b[:45]).encode(), b.encode()])
+        near.append(likeness(x, y))
+        far.append(likeness(x, z))
+    assert 0.2 < np.median(near) < 0.8 and np.median(far) < 0.1
+
+
 def test_every_document_meets_the_next(spark, docs):
     rng = random.Random(4)
     rows = [(i * 7 % 400, prose(rng, rng.randrange(1, 60))) for i in range(150)] + [(900, None), (901, ""), (5, "equal ids"), (5, "equal"), (None, "without"), (902, "y" * 150_000)]
