@@ -45,10 +45,11 @@ def decibel(m: np.ndarray, lowest: float = -60.0) -> np.ndarray:
     return np.full(m.shape, lowest) if top <= 0 else np.clip(20 * np.log10(np.maximum(m / top, 1e-9)), lowest, 0)
 
 
-def peaks(samples: np.ndarray, p: Landmarks = WANG) -> np.ndarray:
-    """(frame, bin) of the local maxima above the floor, the strongest of each second, by frame and bin."""
+def peaks(samples: np.ndarray, p: Landmarks = WANG, top: float = 0.0) -> np.ndarray:
+    """(frame, bin) of the local maxima above the floor, the strongest of each second, by frame and bin. top: a magnitude heard before."""
     m = spectrum(samples)[:, : FFT // 2]
-    db = decibel(m, -120)
+    most = max(top, m.max() if m.size else 0.0)
+    db = 20 * np.log10(np.maximum(m / most, 1e-9)) if most > 0 else np.full(m.shape, -120.0)
     padded = np.pad(m, 2, constant_values=-1)
     around = np.lib.stride_tricks.sliding_window_view(padded, (5, 5)).max(axis=(2, 3))
     t, f = np.nonzero((m >= around) & (db > p.floor_db) & (m > 0))
@@ -79,6 +80,13 @@ def wang(samples: np.ndarray, rate: int = 8000, p: Landmarks = WANG) -> list[tup
     return [(f << 23 | g << 14 | (u - t), t) for t, f, u, g in pairs(peaks(samples, p), p)]
 
 
+def landmarks_from(samples: np.ndarray, p: Landmarks, first: int, top: float) -> tuple[list[tuple[int, int]], float]:
+    """What wang gives for a stretch of a clip that begins at frame `first`, and the largest magnitude so far."""
+    m = spectrum(samples)[:, : FFT // 2]
+    top = max(top, float(m.max()) if m.size else 0.0)
+    return [(f << 23 | g << 14 | (u - t), t + first) for t, f, u, g in pairs(peaks(samples, p, top), p)], top
+
+
 def panako(samples: np.ndarray, rate: int = 8000, p: Landmarks = PANAKO) -> list[tuple[int, int, int, int]]:
     """(hash, t1, t2, t3) of triplets of peaks; the hash keeps only ratios of times, so that it survives a change of speed."""
     _rate("panako", rate)
@@ -120,12 +128,28 @@ def _rate(name: str, rate: int) -> None:
 
 
 def bit_error_rate(a: np.ndarray, b: np.ndarray, window: int = 256) -> float:
-    """The least share of different bits of the first window of either sequence along the other. A window is half of the shorter sequence at most."""
+    """The least share of different bits of a window of one sequence and one of the other, over all windows of either. A window is half of the
+    shorter sequence at most."""
     n = min(window, (min(len(a), len(b)) + 1) // 2)
     if not n:
         return 1.0
-    along = lambda x, y: np.bitwise_count(np.lib.stride_tricks.sliding_window_view(y, n) ^ x[:n]).sum(axis=1).min()
-    return float(min(along(a, b), along(b, a)) / (32 * n))
+    least = 32 * n
+    for shift in range(n - len(b), len(a) - n + 1):  # b begins `shift` words after a
+        x, y = a[max(0, shift) :], b[max(0, -shift) :]
+        m = min(len(x), len(y))
+        sums = np.concatenate([[0], np.cumsum(np.bitwise_count(x[:m] ^ y[:m]), dtype=np.int64)])
+        least = min(least, int((sums[n:] - sums[:-n]).min()))
+    return least / (32 * n)
+
+
+def frame_ms(frame, rate: int = 8000, hop: int = HOP):
+    """Where a frame begins, in milliseconds; of numbers or columns."""
+    return frame * (1000.0 * hop / rate)
+
+
+def bin_hz(bin_, rate: int = 8000, fft: int = FFT):
+    """The frequency of a bin; of numbers or columns."""
+    return bin_ * (rate / fft)
 
 
 def envelope(samples: np.ndarray, buckets: int = 256) -> np.ndarray:

@@ -11,14 +11,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import audio
 from ..operators import kernels
+from ..scratch import scratch_dir
 from ..sources.tables import TENANTS, read
 
 
-def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
+def _stream(spark: SparkSession, d: str, table: str, most_files: int | None = None) -> DataFrame:
+    """most_files: files of a micro-batch, all that are new if not given."""
     schema = read(spark, d, table).schema
     # a table is one file, or a folder of files: the glob takes either
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/{table}.parquet*")
+    out = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    return (out.option("maxFilesPerTrigger", most_files) if most_files else out).parquet(f"{d}/{table}.parquet*")
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -42,12 +46,14 @@ def fixed_windows(events: DataFrame, seconds: int = 60, delay: str = "10 minutes
 
 
 def minhash_sessions(chunks: DataFrame, k: int = kernels.WORDS) -> DataFrame:
-    """session, n_chunks, fingerprint after each batch, of chunks (session, chunk_no, text).
+    """session, n_chunks, fingerprint after each batch, of chunks (session, chunk_no, text[, last boolean]).
 
     State holds the 128 minima so far and the words that the next chunk may still extend, not the text: minima of parts are those of the whole.
-    Chunks of a session come in order over batches; within a batch they are sorted.
+    Chunks of a session come in order over batches; within a batch they are sorted. A chunk with `last` ends its session, whose state goes;
+    what comes for it afterwards begins another one. Null texts count as empty.
     """
     schema = "session string, n_chunks long, fingerprint binary"
+    ends = "last" in chunks.columns
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, slots, tail, words = (0, None, "", []) if not state.exists else pickle.loads(state.get[0])
@@ -61,7 +67,11 @@ def minhash_sessions(chunks: DataFrame, k: int = kernels.WORDS) -> DataFrame:
         if len(words) >= k:
             slots = _least(slots, kernels.minhash_slots(words, k))
             words = words[-(k - 1) :] if k > 1 else []
-        state.update((pickle.dumps((n, slots, tail, words)),))
+        if ends and new["last"].fillna(False).any():
+            if state.exists:
+                state.remove()
+        else:
+            state.update((pickle.dumps((n, slots, tail, words)),))
         last = words + kernels.tokenizer("word")(kernels.canonical(tail))
         whole = _least(slots, kernels.minhash_slots(last, k)) if slots is None or len(last) >= k else slots
         yield pd.DataFrame({"session": [key[0]], "n_chunks": [n], "fingerprint": [kernels.pack(whole)]})
@@ -69,12 +79,47 @@ def minhash_sessions(chunks: DataFrame, k: int = kernels.WORDS) -> DataFrame:
     return chunks.groupBy("session").applyInPandasWithState(run, schema, "state binary", "update", "NoTimeout")
 
 
+def wang_sessions(chunks: DataFrame, p: audio.Landmarks = audio.WANG) -> DataFrame:
+    """session, hash, t of clips at 8 kHz that come in chunks (session, chunk_no, content: 32-bit floats, last boolean).
+
+    Hashes come out once no later sample can change them, and the rest with the last chunk; together they are those of the whole clip but for the
+    loudest peak against which the floor is set, which is the loudest so far. State is the samples that later frames and pairs still need.
+    """
+    reach = p.zone_t + int(2 * audio.FRAMES_A_SECOND) + 4  # frames: a pair's zone, a whole second for the strongest peaks, and the neighbourhood
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        first, sent, top, held = (0, 0, 0.0, b"") if not state.exists else pickle.loads(state.get[0])
+        new = pd.concat(list(frames)).sort_values("chunk_no", kind="stable")
+        held += b"".join(bytes(x) for x in new["content"] if x is not None)
+        ended = bool(new["last"].fillna(False).any())
+        whole = len(held) // 4 * 4
+        samples = audio.pcm(held[:whole])
+        two = int(2 * audio.FRAMES_A_SECOND)
+        n = max(0, (len(samples) - audio.FFT) // audio.HOP + 1)
+        upto = first + n if ended else first + max(0, n - reach)  # anchors before this frame are settled
+        found, top = audio.landmarks_from(samples, p, first, top) if len(samples) and (ended or upto > sent) else ([], top)
+        out = [(h, t) for h, t in found if sent <= t < upto or ended and t >= sent]
+        sent = max(sent, upto)
+        if ended:
+            if state.exists:
+                state.remove()
+        else:
+            keep = max(0, (sent - two) // two * two)  # from a whole second on, so that the strongest of each stay the same
+            drop = max(0, keep - first)
+            state.update((pickle.dumps((first + drop, sent, top, held[drop * audio.HOP * 4 :])),))
+        yield pd.DataFrame({"session": [key[0]] * len(out), "hash": [h for h, _ in out], "t": [t for _, t in out]})
+
+    return chunks.groupBy("session").applyInPandasWithState(run, "session string, hash long, t int", "state binary", "append", "NoTimeout")
+
+
 def _least(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
     return b if a is None else np.minimum(a, b)
 
 
-def token_buckets(requests: DataFrame, rps: float = 100.0, burst: float = 200.0, idle_ms: int = 3_600_000) -> DataFrame:
-    """key, id, allowed of requests (key, id, ts timestamp, cost). State is a level and a time; an idle key's is dropped after an hour."""
+def token_buckets(requests: DataFrame, rps: float = 100.0, burst: float = 200.0, idle: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """key, id, allowed of requests (key, id, ts timestamp, cost). State is a level and a time, and goes when the watermark, `idle` behind the
+    latest request, has passed the key's last request by idle_ms. Time is that of the requests: a run over what is there ends by itself.
+    Requests that are later than `idle` get no answer."""
     schema = "key string, id long, allowed boolean"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -84,30 +129,53 @@ def token_buckets(requests: DataFrame, rps: float = 100.0, burst: float = 200.0,
         level, last = state.get if state.exists else (burst, None)
         new = pd.concat(list(frames)).sort_values(["ts", "id"], kind="stable")
         allowed = []
-        for ts, cost in zip(new["ts"].astype("int64") // 1_000_000, new["cost"], strict=True):
+        for ts, cost in zip(new["ts"].astype("datetime64[ms]").astype("int64"), new["cost"], strict=True):
             level = burst if last is None else min(burst, level + max(0, ts - last) / 1000 * rps)
             last = int(ts) if last is None else max(last, int(ts))
             ok = cost <= burst and level >= cost
             level -= cost if ok else 0
             allowed.append(bool(ok))
         state.update((float(level), last))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"key": key[0], "id": new["id"].to_numpy(), "allowed": allowed})
 
-    return requests.groupBy("key").applyInPandasWithState(run, schema, "level double, last long", "append", "ProcessingTimeTimeout")
+    return requests.withWatermark("ts", idle).groupBy("key").applyInPandasWithState(run, schema, "level double, last long", "append", "EventTimeTimeout")
+
+
+def session_ends(visits: DataFrame, gap: str = "30 days", delay: str = "1 hour") -> DataFrame:
+    """user_id, started, expires, n of visits (user_id, ts): every visit moves its session's end to `gap` later."""
+    out = visits.withWatermark("ts", delay) if visits.isStreaming else visits
+    out = out.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("expires"), "n")
 
 
-def to_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, most_files: int | None = None):
+def to_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """A query that hands each micro-batch to `sink` (an upsert, a webhook); its checkpoint makes a batch that was handed over count as taken."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and returns its result table. For tests and for small results: the memory sink holds them on the driver."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, mode: str, seconds: int = 600) -> DataFrame:
+    """Runs a stream over what is there now and returns its result table, which lies in the shared folder. In complete mode that is the last batch's.
 
-
-__all__ = ["TENANTS", "chunk_stream", "drained", "event_stream", "fixed_windows", "minhash_sessions", "to_batches", "token_buckets", "usage_by_day"]
+    A run that doesn't end within `seconds` is stopped and an error.
+    """
+    path = f"{scratch_dir(stream.sparkSession)}/drained-{uuid.uuid4().hex}"
+    held: list[str] = []
+
+    def keep(df: DataFrame, batch: int) -> None:
+        if mode == "complete":
+            held.clear()
+        held.append(f"{path}/{batch}")
+        df.write.mode("overwrite").parquet(held[-1])
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+    try:
+        if not q.awaitTermination(seconds):
+            raise TimeoutError(f"the stream didn't end within {seconds} seconds")
+    finally:
+        q.stop()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*held) if held else spark.createDataFrame([], stream.schema)
+
+
+__all__ = ["TENANTS", "chunk_stream", "drained", "event_stream", "fixed_windows", "minhash_sessions", "session_ends", "to_batches", "token_buckets", "usage_by_day", "wang_sessions"]
