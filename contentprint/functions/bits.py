@@ -45,3 +45,33 @@ def landmark(hash_: Column) -> Column:
         F.shiftrightunsigned(hash_, 14).bitwiseAND(F.lit(511)).alias("f_b"),
         hash_.bitwiseAND(F.lit((1 << 14) - 1)).alias("dt"),
     )
+
+
+def unpacked(hexadecimal: Column) -> Column:
+    """The bits of a hexadecimal string as integers, the highest of each byte first."""
+    four = lambda v: F.array(*[F.shiftrightunsigned(v, i).bitwiseAND(F.lit(1)) for i in (3, 2, 1, 0)])
+    return F.flatten(F.transform(nibbles(hexadecimal), four))
+
+
+# The offset and the factor of the 32-bit FNV-1a hash, and those of the linear congruence that stretches it.
+FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
+STEP_FACTOR, STEP_ADDEND = 1664525, 1013904223
+_WORD = (1 << 32) - 1
+
+
+def fnv1a(text: Column) -> Column:
+    """The FNV-1a hash of a text's code points (UTF-16 units of texts in the basic plane), for demonstrations only."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(points, F.lit(FNV_OFFSET).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(_WORD).cast("long")))
+
+
+def stretched(seed: Column, n: int = 32) -> Column:
+    """n bytes in hexadecimal from a 32-bit seed: the low bytes of a linear congruence."""
+    step = lambda s: (s * F.lit(STEP_FACTOR).cast("long") + F.lit(STEP_ADDEND).cast("long")).bitwiseAND(F.lit(_WORD).cast("long"))
+    start = F.struct(seed.cast("long").alias("s"), F.lit("").alias("out"))
+
+    def more(held: Column, _: Column) -> Column:
+        s = step(held["s"])
+        return F.struct(s.alias("s"), F.concat(held["out"], F.lpad(F.lower(F.hex(s.bitwiseAND(F.lit(255)))), 2, "0")).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, more, lambda held: held["out"])

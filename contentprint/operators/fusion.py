@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import finite
 from . import bm25, knn
 
 RRF_K = 60
@@ -30,10 +31,13 @@ def rrf(rankings: dict[str, DataFrame], rrf_k: int = RRF_K) -> DataFrame:
     )
 
 
-def hybrid(records: DataFrame, queries: DataFrame, rrf_k: int = RRF_K, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Each retriever fetches k; the fused list is cut to k, then reranked."""
-    fused = rrf({"vector": knn.search(records, queries), "bm25": bm25.search(records, queries)}, rrf_k)
-    out = bm25.ranked(fused.join(queries.select("qid", "k"), "qid"))
+def hybrid(records: DataFrame, queries: DataFrame, rrf_k: int = RRF_K, rerank: Callable[[DataFrame], DataFrame] | None = None, explain: bool = False, where: Column | None = None, modality: str | None = None) -> DataFrame:
+    """Each retriever fetches k; the fused list is cut to k, then reranked. With explain, hits that keyword search found carry its terms."""
+    words = bm25.search(records, queries, explain, where, modality)
+    fused = rrf({"vector": knn.search(records, queries, where=where, modality=modality), "bm25": words}, rrf_k)
+    out = bm25.ranked(fused.join(queries.select("qid", "k"), "qid"), queries.agg(F.max("k")).first()[0] or 0)
+    if explain:
+        out = out.join(words.select("qid", "tenant_id", "record_id", "terms"), ["qid", "tenant_id", "record_id"], "left")
     return rerank(out) if rerank else out
 
 
@@ -43,8 +47,23 @@ def search(records: DataFrame, queries: DataFrame, **settings) -> DataFrame:
     if has("vector") and has("terms"):
         return hybrid(records, queries, **settings)
     if has("vector"):
-        return knn.search(records, queries)
+        return knn.search(records, queries, **settings)
     if has("terms"):
-        return bm25.search(records, queries)
+        return bm25.search(records, queries, **settings)
     empty = queries.select("qid", "tenant_id").limit(0)
     return empty.withColumn("record_id", F.lit(0).cast("long")).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
+
+
+def requested(asked: DataFrame, least: int = 1, most: int = 100) -> DataFrame:
+    """Requests (qid, tenant_id, vector, k) as a query batch: k from `least` to `most` (10 if null), and status 400 for a vector that is null,
+    empty or not finite. Only those of status 200 may go on."""
+    ok = F.col("vector").isNotNull() & (F.size("vector") > 0) & finite(F.col("vector"))
+    k = F.least(F.greatest(F.coalesce(F.col("k"), F.lit(10)), F.lit(least)), F.lit(most)).cast("int")
+    return asked.withColumns({"k": k, "status": F.when(F.coalesce(ok, F.lit(False)), 200).otherwise(400)})
+
+
+def as_json(hits: DataFrame) -> DataFrame:
+    """qid, hits: one JSON array a query in the order of rank; null and empty fields of a hit are left out."""
+    fields = [F.when(F.size(c) > 0, F.col(c)).alias(c) if t.startswith("array") else F.col(c) for c, t in hits.dtypes if c not in ("qid", "tenant_id")]
+    own = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", F.to_json(F.struct(*fields)).alias("hit")))).alias("all"))  # k hits a query
+    return own.select("qid", F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["hit"]), ","), F.lit("]")).alias("hits"))

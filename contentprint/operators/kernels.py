@@ -25,8 +25,8 @@ def minhash_slots(tokens: list[str], k: int = WORDS, slots: int = SLOTS) -> np.n
     if not tokens:
         return np.zeros(slots, np.uint64)
     shingles = {" ".join(tokens[i : i + k]) for i in range(max(1, len(tokens) - k + 1))}
-    both = [divmod(xxhash.xxh3_128_intdigest(s, SEED), 1 << 64) for s in shingles]
-    high, low = np.array([b[0] for b in both], np.uint64), np.array([b[1] for b in both], np.uint64)
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64).reshape(-1, 2)
+    high, low = both[:, 0], both[:, 1]
     out = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
     steps = np.arange(slots, dtype=np.uint64)
     for at in range(0, len(low), 4096):  # bounded rows at a time
@@ -75,19 +75,25 @@ def _pearson_table() -> list[int]:
 _T = np.array(_pearson_table(), np.uint8)
 
 
-def tlsh(data: bytes) -> str | None:
-    """A locality-sensitive digest of 128 buckets and one checksum byte: 70 hexadecimal digits. None below 50 bytes or without variety."""
+def tlsh(data: bytes, permutation: np.ndarray | None = None) -> str | None:
+    """A locality-sensitive digest of 128 buckets and one checksum byte: 70 hexadecimal digits. None below 50 bytes or without variety.
+
+    permutation: the 256 byte values in the order of the hash table; digests compare only under one. The default is made by a rule; for digests
+    that other tools understand, pass the published table.
+    """
     if len(data) < 50:
         return None
+    table = _T if permutation is None else np.asarray(permutation, np.uint8)
     b = np.frombuffer(data, np.uint8)
     w = [b[4 - i : len(b) - i] for i in range(5)]  # w[0] is the newest byte of each window of five
     counts = np.zeros(256, np.int64)
     for salt, (i, j) in zip((2, 3, 5, 7, 11, 13), ((1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4)), strict=True):
-        h = _T[_T[_T[_T[np.uint8(salt)] ^ w[0]] ^ w[i]] ^ w[j]]
+        h = table[table[table[table[np.uint8(salt)] ^ w[0]] ^ w[i]] ^ w[j]]
         counts += np.bincount(h, minlength=256)
-    checksum = 0
-    for new, old in zip(w[0].tolist(), w[1].tolist(), strict=True):
-        checksum = int(_T[int(_T[int(_T[1]) ^ new]) ^ old ^ checksum])
+    checksum, mixed = 0, (table[table[1] ^ w[0]] ^ w[1]).tolist()
+    own = table.tolist()
+    for x in mixed:
+        checksum = own[x ^ checksum]
     buckets = counts[:128]
     q1, q2, q3 = np.sort(buckets)[[31, 63, 95]]
     if q3 == 0 or (buckets > 0).sum() < 64:
@@ -104,6 +110,16 @@ def _around(a: int, b: int, n: int) -> int:
     return min(d, n - d)
 
 
+def _quarters() -> np.ndarray:
+    """Of two bytes of four 2-bit codes each, the sum of their distances; three counts six."""
+    codes = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
+    apart = np.abs(codes[:, None, :] - codes[None, :, :])
+    return np.where(apart == 3, 6, apart).sum(axis=2)
+
+
+_APART = _quarters()
+
+
 def tlsh_distance(a: str, b: str) -> int:
     """0 for equal digests; near-identical up to about 30, similar up to about 100."""
     x, y = bytes.fromhex(a), bytes.fromhex(b)
@@ -113,11 +129,7 @@ def tlsh_distance(a: str, b: str) -> int:
     for p, q in ((x[2] >> 4, y[2] >> 4), (x[2] & 15, y[2] & 15)):
         d = _around(p, q, 16)
         total += d if d <= 1 else (d - 1) * 12
-    for p, q in zip(x[3:], y[3:], strict=True):
-        for s in (0, 2, 4, 6):
-            d = abs((p >> s & 3) - (q >> s & 3))
-            total += 6 if d == 3 else d
-    return total
+    return total + int(_APART[np.frombuffer(x, np.uint8, offset=3), np.frombuffer(y, np.uint8, offset=3)].sum())
 
 
 # ---------------------------------------------------------------- DataFrames

@@ -6,20 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedError
-from .bm25 import ranked
+from .bm25 import ranked, scope
 
 #: Queries that are held at a time, as one matrix a tenant and dimension; more go block by block.
 BLOCK = 1024
 MOST_QUERIES = 100_000
 
 
-def search(records: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
+def search(records: DataFrame, queries: DataFrame, metric: str = "cosine", where: Column | None = None, modality: str | None = None) -> DataFrame:
     """qid, tenant_id, record_id, score, rank. score is the cosine, or for metric "l2" the negative distance.
 
+    where: a predicate on the records' columns; modality: the only one that is searched. Both apply before scoring.
+
     Vectors of another dimension, without length (for cosine), null or not finite are passed over. A task keeps k rows for each query,
     so what is shuffled doesn't depend on the number of records.
     """
@@ -33,11 +35,11 @@ def search(records: DataFrame, queries: DataFrame, metric: str = "cosine") -> Da
             by.setdefault((r["tenant_id"], len(v)), []).append((r["qid"], r["k"], v))
     blocks = [(key, [q for q, _, _ in part], [k for _, k, _ in part], np.array([v for _, _, v in part])) for key, own in sorted(by.items()) for i in range(0, len(own), BLOCK) for part in [own[i : i + BLOCK]]]
     sent = records.sparkSession.sparkContext.broadcast(blocks)
-    near = records.filter("embedding IS NOT NULL").select("tenant_id", "record_id", "embedding")
+    near = records.filter(scope(where, modality)).filter("embedding IS NOT NULL").select("tenant_id", "record_id", "embedding")
     tenants = sorted({key[0] for key in by})
     near = near.filter(F.col("tenant_id").isin(tenants)) if tenants else near.limit(0)
     found = near.mapInArrow(_scan(sent, metric), "qid long, tenant_id long, record_id long, score double, k int")
-    return ranked(found)
+    return ranked(found, max((k for _, _, ks, _ in blocks for k in ks), default=1))
 
 
 def _scan(sent, metric: str):

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import BadInputError
 from ..functions import audio, images
+from .kernels import EmbeddingProvider, embed
 
 
 def _or_null(f):
@@ -72,12 +73,23 @@ def landmarks(clips: DataFrame, algorithm: str = "wang") -> DataFrame:
     return clips.select("record_id", "content").mapInArrow(run, "record_id long, hash long, t int")
 
 
-def landmark_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """qid, record_id, votes, offset: the most frequent difference in time among the hashes that a query shares with a record."""
-    q = queries.select(F.col("record_id").alias("qid"), "hash", F.col("t").alias("tq"))
-    votes = q.join(index, "hash").groupBy("qid", "record_id", (F.col("t") - F.col("tq")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+def landmark_matches(queries: DataFrame, index: DataFrame, least: int = 1, k: int | None = None, salts: int = 16) -> DataFrame:
+    """qid, record_id, votes, offset: the most frequent difference in time among the hashes that a query shares with a record; pairs of fewer
+    votes than `least` go, and with k only each query's k best stay.
+
+    Both sides are (record_id, hash, t), written once by the caller. A hash that very many records share is dealt to `salts` tasks by record;
+    votes are counted in each task before they meet.
+    """
+    q = queries.select(F.col("record_id").alias("qid"), "hash", F.col("t").alias("tq"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    votes = q.join(index.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")), ["hash", "salt"])
+    votes = votes.groupBy("qid", "record_id", (F.col("t") - F.col("tq")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = F.max(F.struct("votes", (-F.col("offset")).alias("back"))).alias("best")
-    return votes.groupBy("qid", "record_id").agg(best).select("qid", "record_id", F.col("best.votes").alias("votes"), (-F.col("best.back")).alias("offset"))
+    found = votes.groupBy("qid", "record_id").agg(best).select("qid", "record_id", F.col("best.votes").alias("votes"), (-F.col("best.back")).alias("offset"))
+    found = found.filter(F.col("votes") >= least)
+    if k is None:
+        return found
+    first = Window.partitionBy("qid").orderBy(F.desc("votes"), "record_id")
+    return found.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("r")
 
 
 def haitsma(clips: DataFrame, rate: int) -> DataFrame:
@@ -108,3 +120,35 @@ def audio_inspect(clips: DataFrame) -> DataFrame:
             yield pa.record_batch({"record_id": batch["record_id"], **{k: pa.array([m.get(k) for m in made], t) for k, t in kinds.items()}})
 
     return clips.select("record_id", "content").mapInArrow(run, "record_id long, n_samples long, seconds double, envelope array<double>, frames int, n_peaks int, n_pairs int, n_hashes int")
+
+
+def semantic(records: DataFrame, provider: EmbeddingProvider) -> DataFrame:
+    """Pictures (content) with embedding and model_id, by a provider that takes their bytes; null contents are empty bytes to it."""
+    return embed(records, provider, "content")
+
+
+def neural(clips: DataFrame, provider: EmbeddingProvider, rate: int, fmax: float | None = None) -> DataFrame:
+    """Clips (content) with embedding, model_id and fmax, half of the rate if not given. The rate must be that of the algorithm."""
+    if rate != audio.RATES["neural"]:
+        raise BadInputError(f"neural takes {audio.RATES['neural']} Hz, not {rate}")
+    fmax = rate / 2 if fmax is None else fmax
+    if not 0 < fmax <= rate / 2:
+        raise BadInputError(f"fmax {fmax}")
+    return embed(clips, provider, "content").withColumn("fmax", F.lit(float(fmax)))
+
+
+def watermark(clips: DataFrame, detect: Callable[[np.ndarray], tuple[float, int]], threshold: float = 0.5) -> DataFrame:
+    """record_id, score, detected, payload (four little-endian bytes, null unless detected) by a detector that gives a score and a message
+    for samples at 16 kHz. Clips that can't be read have no score and aren't detected."""
+    f = _or_null(lambda d: detect(audio.pcm(d)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [f(x) for x in batch["content"].to_pylist()]
+            hit = [m is not None and m[0] >= threshold for m in made]
+            yield pa.record_batch({
+                "record_id": batch["record_id"], "score": pa.array([None if m is None else float(m[0]) for m in made], pa.float64()),
+                "detected": pa.array(hit, pa.bool_()), "payload": pa.array([int(m[1]).to_bytes(4, "little") if h else None for m, h in zip(made, hit, strict=True)], pa.binary()),
+            })
+
+    return clips.select("record_id", "content").mapInArrow(run, "record_id long, score double, detected boolean, payload binary")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import BadInputError, ForbiddenError, RecordNotFoundError
+from ..errors import BadInputError, ForbiddenError, IncompatibleError, RecordNotFoundError
 
 SCHEMA = T.StructType([
     T.StructField("tenant_id", T.LongType()),
@@ -53,6 +53,33 @@ def describe(records: DataFrame) -> DataFrame:
     )
 
 
+def config_hash(*parts: Column | str) -> Column:
+    """A number for a configuration: the first 60 bits of the MD5 of its parts (canonical form, tokenizer, algorithm). A null part is an empty one."""
+    whole = F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
+def comparable(a: str = "a", b: str = "b") -> Column:
+    """Whether the structs a and b have one algorithm, format version and configuration; nulls are equal to each other."""
+    same = [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in ("algorithm", "format_version", "config_hash")]
+    return same[0] & same[1] & same[2]
+
+
+def compared(pairs: DataFrame, strict: bool = False) -> DataFrame:
+    """pairs (a, b: structs of records) with status 200, or 409 where they can't be compared; strict: one such pair is an error."""
+    out = pairs.withColumn("status", F.when(comparable(), 200).otherwise(409))
+    if strict and out.filter("status = 409").limit(1).count():
+        raise IncompatibleError("records of different algorithms, format versions or configurations")
+    return out
+
+
+def page(records: DataFrame, modality: str | None = None, label: str | None = None, n: int = 25) -> DataFrame:
+    """The n newest records of a modality whose label holds a text, whatever its case."""
+    out = records if modality is None else records.filter(F.lower("modality") == modality.lower())
+    out = out if not label else out.filter(F.contains(F.lower("label"), F.lit(label.lower())))
+    return out.orderBy(F.desc("record_id")).limit(n)
+
+
 def get(records: DataFrame, tenant_id: int, record_id: int):
     found = describe(records.filter((F.col("tenant_id") == tenant_id) & (F.col("record_id") == record_id))).limit(1).collect()
     if not found:
@@ -121,9 +148,18 @@ class Store:
             raise BadInputError("a batch needs tenant_id and record_id")
         return self.commit(upsert(self.read(), batch, order))
 
+    def bulk(self, path: str, index_text: bool = False) -> dict:
+        """Upserts JSON lines; says how many records they hold."""
+        batch = bulk_in(self.spark, path, index_text)
+        return {"upserted": batch.select(*KEY).distinct().count(), "version": self.upsert(batch, F.xxhash64(*[c for c in batch.columns]))}
+
     def delete(self, keys: DataFrame) -> int:
         return self.commit(delete(self.read(), keys))
 
+    def healthy(self) -> bool:
+        """Whether the store answers: its newest version, if it has any, can be read."""
+        return not self.versions() or self.read().limit(1).count() >= 0
+
     def prune(self, keep: int = 24) -> list[int]:
         gone = self.versions()[: -keep if keep else None]
         for v in gone:

@@ -1,14 +1,20 @@
 """MinHash, SimHash and what is found with them, over (record_id, text).
 
-The portable profile takes its hashes from MD5, so that any SQL engine can repeat it. Signatures stay columns or rows; nothing is collected.
+The portable profile takes its hashes from MD5, so that any SQL engine can repeat it. Nothing is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles, tokens
+from ..scratch import cut, tidy
 
 SLOTS, WORDS = 128, 5
 BANDS, ROWS = 16, 8
@@ -27,16 +33,37 @@ def shingle_rows(records: DataFrame, k: int = WORDS) -> DataFrame:
     return runs.select("record_id", F.explode_outer(F.array_distinct("runs")).alias("shingle")).filter("shingle IS NOT NULL")
 
 
-def minhash(records: DataFrame, k: int = WORDS, slots: int = SLOTS) -> DataFrame:
-    """record_id, s0 .. s127: for each slot i the least (h1 + i h2) mod 2^52 over the shingles; partial minima come before the shuffle."""
-    digest = shingle_rows(records, k).select("record_id", F.md5("shingle").alias("d"))
-    both = digest.select("record_id", _hex(F.col("d"), 1, 13).alias("h1"), _hex(F.col("d"), 14, 13).alias("h2"))
-    return both.groupBy("record_id").agg(*[F.min((F.col("h1") + i * F.col("h2")).bitwiseAND(F.lit(_MASK))).alias(f"s{i}") for i in range(slots)])
+def _minima(runs: list[str], slots: int) -> np.ndarray:
+    """For each slot i the least (h1 + i h2) mod 2^52 over the shingles; h1 and h2 are the first and second 13 hexadecimal digits of their MD5."""
+    digests = np.frombuffer(b"".join([hashlib.md5(x.encode()).digest() for x in runs]), ">u8").astype(np.uint64).reshape(-1, 2)
+    h1 = digests[:, 0] >> np.uint64(12)
+    h2 = (digests[:, 0] & np.uint64(0xFFF)) << np.uint64(40) | digests[:, 1] >> np.uint64(24)
+    steps, mask, out = np.arange(slots, dtype=np.uint64)[:, None], np.uint64(_MASK), None
+    for at in range(0, len(h1), 2048):  # bounded rows at a time
+        own = ((h1[at : at + 2048] + steps * h2[at : at + 2048]) & mask).min(axis=1)
+        out = own if out is None else np.minimum(out, own)
+    return out
 
 
 def signatures(records: DataFrame, k: int = WORDS, slots: int = SLOTS) -> DataFrame:
-    """record_id, signature (array of the slots)."""
-    return minhash(records, k, slots).select("record_id", F.array(*[f"s{i}" for i in range(slots)]).alias("signature"))
+    """record_id, signature (array of `slots` minima) of every record with a word.
+
+    Words are taken in the JVM; shingles and minima in one Arrow function, so that neither a row a shingle nor a shuffle comes about. The values are
+    those of min((h1 + i * h2) & (2^52 - 1)) over the shingles in any SQL engine.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for joined in batch["words"].to_pylist():
+                words = joined.split(" ")
+                made.append(_minima(list({" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}), slots))
+            flat = np.concatenate(made).astype(np.int64) if made else np.empty(0, np.int64)
+            ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * slots)
+            yield pa.record_batch({"record_id": batch["record_id"], "signature": pa.ListArray.from_arrays(ends, pa.array(flat))})
+
+    words = records.select("record_id", F.array_join(tokens(F.col("text")), " ").alias("words")).filter("words <> ''")
+    return words.mapInArrow(run, f"record_id {dict(records.dtypes)['record_id']}, signature array<long>")
 
 
 def jaccard_estimate(a: Column, b: Column) -> Column:
@@ -72,9 +99,13 @@ def lsh_candidates(signed: DataFrame, n_bands: int = BANDS, rows: int = ROWS) ->
     return left.join(right, ["band", "bucket"]).filter("a < b").select("a", "b").distinct()
 
 
+@tidy
 def lsh_near_duplicates(records: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """a, b, estimate of the pairs of different signatures that agree in `threshold` of the slots; signature_classes() tells for whom a and b stand."""
-    signed = signatures(records)
+    """a, b, estimate of the pairs of different signatures that agree in `threshold` of the slots; signature_classes() tells for whom a and b stand.
+
+    16 bands of 8 slots meet a pair of similarity s with a probability of 1 - (1 - s^8)^16: 0.95 at 0.8, 0.9995 at 0.9. Signatures are written once.
+    """
+    signed = cut(signatures(records))
     of = lambda x: signed.select(F.col("record_id").alias(x), F.col("signature").alias(f"s{x}"))
     pairs = lsh_candidates(signed).join(of("a"), "a").join(of("b"), "b")
     return pairs.select("a", "b", jaccard_estimate(F.col("sa"), F.col("sb")).alias("estimate")).filter(F.col("estimate") >= threshold)
@@ -117,6 +148,8 @@ def exact_groups(records: DataFrame) -> DataFrame:
 
 
 def keep_first(records: DataFrame) -> DataFrame:
-    """One record of each text, that with the smallest id."""
-    best = Window.partitionBy(F.sha2("text", 256)).orderBy("record_id")
-    return records.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
+    """One record of each text, that with the smallest id; null texts count as one text. The least id combines before the shuffle, so that no group of
+    copies meets in a task."""
+    rest = [c for c in records.columns if c not in ("record_id", "text")]
+    best = records.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("record_id", *rest, "text")).alias("row"))
+    return best.select("row.*").select(*records.columns)
