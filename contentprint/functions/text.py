@@ -85,3 +85,16 @@ def truncated(text: Column, most_bytes: int) -> Column:
         following = F.conv(F.hex(F.substring(raw, at + 1, F.lit(1))), 16, 10).cast("int")
         at = F.when(following.between(128, 191), at - 1).otherwise(at)
     return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), at), "UTF-8"), F.lit("…")))
+
+
+#: Crockford's digits. Fixed value.
+BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def ulid(ms: Column, seed: Column) -> Column:
+    """A 26-digit sortable id: 48 bits of time, and 80 bits from the MD5 of `seed`, so that a repeated task gives the same one."""
+    def digits(number: Column, n: int) -> list[Column]:
+        return [F.substring(F.lit(BASE32), F.shiftrightunsigned(number, 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for i in range(n - 1, -1, -1)]
+
+    half = lambda first: F.conv(F.substring(F.md5(seed), first, 10), 16, 10).cast("long")
+    return F.concat(*digits(ms.cast("long"), 10), *digits(half(1), 8), *digits(half(11), 8))

@@ -176,8 +176,10 @@ def key_source(settings: Mapping[str, str]) -> tuple[str, str]:
 
 def cache_hits(gets: DataFrame, puts: DataFrame, ttl: int = 600) -> DataFrame:
     """gets (tenant_id, key, id, at) with put_at and hit: whether the latest put (tenant_id, key, at, live) up to then was a live one (not a
-    removal) less than `ttl` seconds ago. Entries expire when they are asked for. A put comes before a get of the same second."""
+    removal) less than `ttl` seconds ago. Entries expire when they are asked for. A put comes before a get of the same second; of puts of one
+    second a live one holds."""
     c = F.col
+    puts = puts.groupBy("tenant_id", "key", "at").agg(F.max("live").alias("live"))
     both = puts.select("tenant_id", "key", F.lit(None).cast("long").alias("id"), "at", F.struct("at", "live").alias("put")).unionByName(
         gets.select("tenant_id", "key", "id", "at", F.lit(None).cast("struct<at:bigint,live:boolean>").alias("put")))
     before = Window.partitionBy("tenant_id", "key").orderBy("at", F.asc_nulls_first("id")).rowsBetween(Window.unboundedPreceding, 0)

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BadInputError
-from ..functions.unicode import canonical, tokenizer
+from ..functions.documents import pdf_text
+from ..functions.text import html_text, markdown_text
+from ..functions.unicode import canonical, config_tag, tokenizer
+from .records import config_hash
 
 SEED = 0xC0FFEE5EED
 SLOTS, WORDS = 128, 5
@@ -241,3 +244,61 @@ class LshBands:
 def register_tables(spark) -> None:
     spark.udtf.register("shingles", F.udtf(Shingles, returnType="position int, shingle string"))
     spark.udtf.register("lsh_bands", F.udtf(LshBands, returnType="band int, bucket string"))
+
+
+# ---------------------------------------------------------------- what an upload or an inspection asks for
+
+PREPARED = ("html", "markdown", "pdf")
+
+
+def prepared(records: DataFrame, kind: str) -> DataFrame:
+    """records with `text` taken from `content` (bytes; UTF-8 for html and markdown) and status 200, or null and 400 for what can't be read."""
+    if kind not in PREPARED:
+        raise BadInputError(f"kind {kind!r}")
+    if kind == "pdf":
+        @F.pandas_udf("string")
+        def read(s: pd.Series) -> pd.Series:
+            return s.map(_pdf_or_none)
+
+        out = records.withColumn("text", read("content"))
+    else:
+        plain = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+        out = records.withColumn("text", (html_text if kind == "html" else markdown_text)(plain))
+    return out.withColumn("status", F.when(F.col("text").isNull(), 400).otherwise(200))
+
+
+def _pdf_or_none(data: bytes | None) -> str | None:
+    try:
+        return None if data is None else pdf_text(bytes(data))
+    except BadInputError:
+        return None
+
+
+def prepared_fingerprint(records: DataFrame, kind: str, algorithm: str = "minhash-h128", **options) -> DataFrame:
+    """An upload in one step: the content's text and its fingerprint; both are null, and status is 400, for what can't be read."""
+    return fingerprint(prepared(records, kind), algorithm, **options)
+
+
+def inspected(records: DataFrame, k: int = WORDS, name: str = "word", most_bytes: int = 8192, most_items: int = 256, **options) -> DataFrame:
+    """What an inspection page shows of (record_id, text): raw and canonical text of at most most_bytes (whole characters), at most most_items
+    tokens and shingles beside how many there are, the MinHash in hexadecimal, and the configuration's hash. Null texts count as empty."""
+    split = tokenizer(name)
+
+    def cut(text: str) -> str:
+        return text.encode("utf-8", "replace")[:most_bytes].decode("utf-8", "ignore")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [t or "" for t in batch["text"].to_pylist()]
+            made = [canonical(t, **options) for t in raws]
+            tokens = [split(t) for t in made]
+            runs = [[" ".join(w[i : i + k]) for i in range(min(most_items, max(1, len(w) - k + 1)))] if w else [] for w in tokens]
+            yield pa.record_batch({
+                "record_id": batch["record_id"], "raw": pa.array([cut(t) for t in raws], pa.string()), "canonical": pa.array([cut(t) for t in made], pa.string()),
+                "tokens": pa.array([w[:most_items] for w in tokens], pa.list_(pa.string())), "n_tokens": pa.array([len(w) for w in tokens], pa.int64()),
+                "shingles": pa.array(runs, pa.list_(pa.string())), "n_shingles": pa.array([max(1, len(w) - k + 1) if w else 0 for w in tokens], pa.int64()),
+                "fingerprint": pa.array([pack(minhash_slots(w, k)).hex() for w in tokens], pa.string()),
+            })
+
+    out = records.select("record_id", "text").mapInArrow(run, f"record_id {dict(records.dtypes)['record_id']}, raw string, canonical string, tokens array<string>, n_tokens long, shingles array<string>, n_shingles long, fingerprint string")
+    return out.withColumn("config_hash", config_hash(",".join(f"{a}={b}" for a, b in sorted(options.items())), config_tag(k, name), "minhash-h128"))

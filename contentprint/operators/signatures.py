@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles, tokens
@@ -153,3 +153,9 @@ def keep_first(records: DataFrame) -> DataFrame:
     rest = [c for c in records.columns if c not in ("record_id", "text")]
     best = records.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("record_id", *rest, "text")).alias("row"))
     return best.select("row.*").select(*records.columns)
+
+
+def top_tokens(weights: DataFrame, n: int = 32) -> DataFrame:
+    """record_id, term, weight, nth: the n terms of each record that weigh most, positive or negative; ties by term. weights: (record_id, term, weight)."""
+    first = Window.partitionBy("record_id").orderBy(F.desc(F.round(F.abs("weight"), 9)), "term")
+    return weights.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODALITIES = ("text", "image", "audio")
@@ -101,3 +101,13 @@ def client_errors(errors: DataFrame) -> DataFrame:
 def manifest(items: DataFrame) -> DataFrame:
     """What a finished upload queue exports."""
     return items.filter("status = 'done' AND record_id IS NOT NULL").select("name", "modality", "record_id", "algorithm")
+
+
+def status_counts(items: DataFrame) -> DataFrame:
+    """How many items of a queue are in each state."""
+    return items.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def clock(at: Column) -> dict[str, Column]:
+    """Of seconds since 1970: the minute, the UTC day as yyyymmdd, and the seconds to the next one."""
+    return {"minute": F.floor(at / 60), "day_key": F.date_format(F.timestamp_seconds(at), "yyyyMMdd"), "to_midnight": F.lit(86400) - F.pmod(at, F.lit(86400))}

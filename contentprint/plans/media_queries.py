@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images
 from ..operators import media
+from ..scratch import cut, tidy
 from ..sources import tables as T
 from .queries import query, rounded
 
@@ -58,8 +59,13 @@ def _(spark, d):
 
 @query("audio_wang_matches")
 def _(spark, d):
-    found = media.landmarks(_made(spark, d, clip))
-    return media.landmark_matches(found.filter("record_id % 20 = 1"), found)
+    return _wang_matches(spark, d)
+
+
+@tidy
+def _wang_matches(spark, d):
+    found = cut(media.landmarks(_made(spark, d, clip)))
+    return media.landmark_matches(found.filter("record_id % 100 = 0"), found, least=5, k=10)
 
 
 @query("audio_panako")

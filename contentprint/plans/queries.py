@@ -370,7 +370,7 @@ def _(spark, d):
 @query("fk_cascade", "SELECT o_orderkey AS key_id, o_custkey AS user_id FROM orders WHERE o_custkey % 5 <> 0")
 def _(spark, d):
     gone = T.users(spark, d).filter("user_id % 5 = 0").select("user_id")
-    return T.api_keys(spark, d).select("key_id", "user_id").join(gone, "user_id", "left_anti").filter("user_id % 5 <> 0").select("key_id", "user_id")
+    return T.api_keys(spark, d).select("key_id", "user_id").join(gone, "user_id", "left_anti").select("key_id", "user_id")
 
 
 @query("fk_set_null", "SELECT event_id AS id, CASE WHEN user_id % 10 = 3 THEN NULL ELSE user_id % 10 END AS api_key_id FROM events")
@@ -498,7 +498,11 @@ def _(spark, d):
     return T.api_keys(spark, d).select("user_id", "key_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("key_id"))).alias("nth"))
 
 
-@query("token_bucket")
+@query("token_bucket", f"""WITH RECURSIVE {EVENTS}, s AS (SELECT CAST(user_id AS VARCHAR) AS key, id, created_at * 1000 AS ts, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS n FROM ev),
+b AS (SELECT key, n, id, 2.0::DOUBLE AS level, ts AS last, TRUE AS allowed FROM s WHERE n = 1 UNION ALL
+SELECT key, n, id, CASE WHEN f >= 1 THEN f - 1 ELSE f END AS level, last, f >= 1 AS allowed FROM (SELECT s.key, s.n, s.id, greatest(b.last, s.ts) AS last,
+least(3.0::DOUBLE, b.level + greatest(0, s.ts - b.last) / 1000::DOUBLE * 0.0001::DOUBLE) AS f FROM b JOIN s ON s.key = b.key AND s.n = b.n + 1))
+SELECT key, id, allowed, CAST(floor(level) AS BIGINT) AS remaining, CAST(CASE WHEN allowed THEN 0 ELSE ceil((1 - level) / 0.0001::DOUBLE * 1000) END AS BIGINT) AS retry_after_ms FROM b""")
 def _(spark, d):
     asked = T.usage_events(spark, d).select(F.col("user_id").cast("string").alias("key"), "id", (F.col("created_at") * 1000).alias("ts_ms"), F.lit(1).alias("cost"))
     return control.token_bucket(asked, rps=0.0001, burst=3)
@@ -598,4 +602,4 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- queries of the other modules
 
-from . import media_queries, text_queries  # noqa: E402, F401
+from . import media_queries, more_queries, text_queries  # noqa: E402, F401

@@ -79,12 +79,20 @@ def _(spark, d):
     return own.select("record_id", F.substring("text", 1, 64).alias("raw"), F.size("words").alias("n_tokens"), F.size(F.slice("words", 1, 256)).alias("shown_tokens"), F.size(text.shingles(F.col("words"), signatures.WORDS)).alias("n_shingles"))
 
 
-@query("algorithm_manifest")
+def values_sql(rows: list[tuple], schema: str) -> str:
+    """VALUES with the names and types of a schema (name type, ..)."""
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
+    fields = [x.split() for x in schema.split(", ")]
+    shown = [", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) for row in rows]
+    return f"SELECT {', '.join(f'CAST({n} AS {kinds[t]}) AS {n}' for n, t in fields)} FROM (VALUES {', '.join(f'({r})' for r in shown)}) AS v({', '.join(n for n, _ in fields)})"
+
+
+@query("algorithm_manifest", values_sql(manifest.ALGORITHMS, "modality string, algorithm string, n_bytes int, least_input int, needs_provider boolean"))
 def _(spark, d):
     return manifest.algorithms(spark)
 
 
-@query("algorithm_tunables")
+@query("algorithm_tunables", values_sql(manifest.TUNABLES, "algorithm string, name string, least double, most double, step double, preset double"))
 def _(spark, d):
     return manifest.tunables(spark)
 
