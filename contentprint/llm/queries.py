@@ -116,6 +116,14 @@ m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT m.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)
 """
 
+# The article of a generated page: what lies between its tags, where h1, p and br part blocks and other tags part nothing.
+EXTRACTION_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(?:h1|p|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(t, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM b)
+SELECT page_id, url, t AS text, CAST(length(t) AS BIGINT) AS n_chars FROM c
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_quality_cotraining": op2_quality_cotraining,
@@ -129,4 +137,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": DECONTAMINATION_SQL, "op8_ngram_join": NGRAM_JOIN_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": DECONTAMINATION_SQL, "op5_html_extraction": EXTRACTION_SQL, "op8_ngram_join": NGRAM_JOIN_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
