@@ -195,19 +195,19 @@ def _labelled(made: DataFrame, known: DataFrame, s: Settings) -> list:
     return [(r["quality"], *_pair(r["row"])) for r in sorted(one.collect(), key=lambda r: r["doc_id"])]
 
 
-def _sure(made: DataFrame, known: DataFrame, views: list[View], taught: list[dict], s: Settings, prior: float = 0.0) -> list[dict]:
+def _sure(made: DataFrame, known: DataFrame, views: list[View], taught: list[dict], s: Settings, prior: float = 0.5) -> list[dict]:
     """For each view the documents it is surest of, {ident: (label, features)}: of all unlabelled ones, per_round at most a label, less those the other view has.
 
-    prior: log odds of quality 1 among the labelled documents, which are taken off: a view is sure of what it learns from the document, not of the base
-    rate, so that it can teach either label however rare it is. Equally sure ones go by a hash of the row, so that no source is preferred. ident: doc_id, or key where that is null.
+    prior: the share of quality 1 among the labelled documents. Beside being `confident`, a view must find the label likelier than that share makes it:
+    a view that knows nothing would else teach the base rate. Equally sure ones go by a hash of the row, so that no source is preferred. ident: doc_id, or key where that is null.
     """
     sent = made.sparkSession.sparkContext.broadcast((views, s.confident))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, least = sent.value
         for batch in parts(batches, "x"):
-            p = [np.round(sigmoid(m - prior), 12) for m in _margins(own, batch)]
-            hit = pa.array(np.any([(x >= least) | (1 - x >= least) for x in p], axis=0))
+            p = [np.round(sigmoid(m), 12) for m in _margins(own, batch)]
+            hit = pa.array(np.any([(x >= least) & (x > prior) | (1 - x >= least) & (x < prior) for x in p], axis=0))
             yield pa.record_batch({"doc_id": batch["doc_id"], "key": batch["key"], "p0": pa.array(p[0]), "p1": pa.array(p[1])}).filter(hit)
 
     found = made.mapInArrow(run, "doc_id long, key long, p0 double, p1 double").join(known.select("doc_id"), "doc_id", "left_anti")
@@ -217,7 +217,7 @@ def _sure(made: DataFrame, known: DataFrame, views: list[View], taught: list[dic
         used = made.sparkSession.createDataFrame([(i,) for i in taught[1 - v]], "ident long")
         fresh = scored.join(F.broadcast(used), "ident", "left_anti")
         for y, sure in ((1, F.col(f"p{v}")), (0, 1 - F.col(f"p{v}"))):
-            best = fresh.select("ident", "key", sure.alias("sure")).filter(F.col("sure") >= s.confident)
+            best = fresh.select("ident", "key", sure.alias("sure")).filter((F.col("sure") >= s.confident) & (F.col("sure") > (prior if y else 1 - prior)))
             best = best.groupBy("ident").agg(F.max(F.struct("sure", "key")).alias("b")).orderBy(F.desc("b"), "ident").limit(s.per_round)
             picks += [(v, y, r["ident"], r["b"]["key"]) for r in best.collect()]
     wanted = made.sparkSession.createDataFrame([(k,) for k in {p[3] for p in picks}], "key long")
@@ -237,8 +237,7 @@ def train(made: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     views = [View(s.slots + 16, s), View(s.meta_slots, s)]
     taught: list[dict] = [{}, {}]  # ident: (label, features) that the other view gave
     losses, history, best = [1.0, 1.0], [], {}
-    share = float(np.mean([d[0] for d in known]))
-    prior = float(np.log(share / (1 - share)))
+    prior = float(np.mean([d[0] for d in known]))
     for turn in range(s.rounds + 1):
         for v, view in enumerate(views):
             rows = [d[1 + v] for d in known] + [pair[v] for _, pair in taught[v].values()]
