@@ -7,6 +7,9 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..errors import BadInputError
 from .images import encode_png
@@ -60,6 +63,16 @@ def diff_spans(before: str, after: str) -> list[tuple[str, str]]:
     return out
 
 
+def differences(before: Column | str, after: Column | str) -> Column:
+    """diff_spans of two columns; null texts count as empty."""
+
+    @F.pandas_udf("array<struct<kind:string,text:string>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "text": t} for k, t in diff_spans(x or "", y or "")] for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run(before, after)
+
+
 # Nine stops of the viridis colour map.
 VIRIDIS = np.array([(68, 1, 84), (71, 44, 122), (59, 81, 139), (44, 113, 142), (33, 144, 141), (39, 173, 129), (92, 200, 99), (170, 220, 50), (253, 231, 37)], float)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BadInputError
 from ..functions import audio, images
+from ..functions.documents import spectrum_png
 from .kernels import EmbeddingProvider, embed
 
 
@@ -110,16 +111,34 @@ def haitsma_compare(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("bit_error_rate", run("fa", "fb"))
 
 
-def audio_inspect(clips: DataFrame) -> DataFrame:
-    f = _or_null(lambda d: audio.inspect(audio.pcm(d)))
+INSPECTED = "n_samples long, seconds double, envelope array<double>, frames int, peaks array<struct<t_ms:double,hz:double>>, n_peaks int, pairs array<struct<t_ms:double,hz:double,to_ms:double,to_hz:double>>, n_pairs int, n_hashes int, spectrum binary"
+
+
+def audio_inspect(clips: DataFrame, rate: int = 8000) -> DataFrame:
+    """What an inspection page shows of (record_id, content): the envelope, at most 256 peaks and pairs in milliseconds and hertz beside how
+    many there are, and a PNG of the spectrum. Clips that can't be read have nulls."""
+
+    def one(data: bytes) -> dict:
+        samples = audio.pcm(data)
+        made = audio.inspect(samples, rate)
+        place = lambda t, f: (audio.frame_ms(t, rate), audio.bin_hz(f, rate))
+        made["peaks"] = [dict(zip(("t_ms", "hz"), place(t, f), strict=True)) for t, f in made["peaks"]]
+        made["pairs"] = [dict(zip(("t_ms", "hz", "to_ms", "to_hz"), place(t, f) + place(u, g), strict=True)) for t, f, u, g in made["pairs"]]
+        return made | {"spectrum": spectrum_png(audio.decibel(audio.spectrum(samples)))}
+
+    f = _or_null(one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point = [("t_ms", pa.float64()), ("hz", pa.float64())]
+        line = [*point, ("to_ms", pa.float64()), ("to_hz", pa.float64())]
+        kinds = {"n_samples": pa.int64(), "seconds": pa.float64(), "envelope": pa.list_(pa.float64()), "frames": pa.int32(), "peaks": pa.list_(pa.struct(point)), "n_peaks": pa.int32(), "pairs": pa.list_(pa.struct(line)), "n_pairs": pa.int32(), "n_hashes": pa.int32(), "spectrum": pa.binary()}
         for batch in batches:
-            made = [f(x) or {} for x in batch["content"].to_pylist()]
-            kinds = {"n_samples": pa.int64(), "seconds": pa.float64(), "envelope": pa.list_(pa.float64()), "frames": pa.int32(), "n_peaks": pa.int32(), "n_pairs": pa.int32(), "n_hashes": pa.int32()}
-            yield pa.record_batch({"record_id": batch["record_id"], **{k: pa.array([m.get(k) for m in made], t) for k, t in kinds.items()}})
+            for i in range(0, batch.num_rows, 64):  # pictures are large: few at a time
+                part = batch.slice(i, 64)
+                made = [f(x) or {} for x in part["content"].to_pylist()]
+                yield pa.record_batch({"record_id": part["record_id"], **{k: pa.array([m.get(k) for m in made], t) for k, t in kinds.items()}})
 
-    return clips.select("record_id", "content").mapInArrow(run, "record_id long, n_samples long, seconds double, envelope array<double>, frames int, n_peaks int, n_pairs int, n_hashes int")
+    return clips.select("record_id", "content").mapInArrow(run, f"record_id long, {INSPECTED}")
 
 
 def semantic(records: DataFrame, provider: EmbeddingProvider) -> DataFrame:

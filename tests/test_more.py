@@ -226,3 +226,35 @@ def test_requests(spark):
     rows = [(1, 1, [1.0, 2.0], 0), (2, 1, None, 5), (3, 1, [float("inf")], None), (4, 1, [], 500), (5, 1, [1.0], None)]
     got = [(r.qid, r.k, r.status) for r in fusion.requested(spark.createDataFrame(rows, "qid long, tenant_id long, vector array<double>, k int")).orderBy("qid").collect()]
     assert got == [(1, 1, 200), (2, 5, 400), (3, 10, 400), (4, 100, 400), (5, 10, 200)]
+
+
+def test_more_queries_than_are_held_at_once(spark):
+    from contentprint.operators import knn
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(rng.standard_normal((60, 4)))], "tenant_id long, record_id long, embedding array<float>")
+    asked = df.select(F.col("record_id").alias("qid"), "tenant_id", F.col("embedding").alias("vector"), F.lit(3).alias("k"))
+    whole, parts = (sorted((r.qid, r.rank, r.record_id) for r in knn.search(df, asked, most_queries=n).collect()) for n in (100, 13))
+    assert whole == parts and len(whole) == 180
+
+
+def test_a_tenant_reads_its_own_folder(spark, tmp_path):
+    from decimal import Decimal
+
+    rows = [(t, i, "Text", 1, "a", Decimal(1), b"x", None, None, None, "t") for t in (1, 2) for i in range(3)]
+    store = records.Store(spark, str(tmp_path / "s"))
+    store.commit(spark.createDataFrame(rows, records.SCHEMA))
+    own = store.read().filter("tenant_id = 2")
+    assert own.count() == 3 and "PartitionFilters: [isnotnull(tenant_id" in own._jdf.queryExecution().toString()
+
+
+def test_inspection_of_clips_and_differences(spark):
+    from contentprint.functions.documents import diff_spans, differences
+
+    clips = spark.createDataFrame([(1, bytearray(tone(2).tobytes())), (2, bytearray(b"abc"))], "record_id long, content binary")
+    got = {r.record_id: r for r in media.audio_inspect(clips).collect()}
+    found = audio.peaks(audio.pcm(tone(2).tobytes()))
+    assert got[1].n_peaks == len(found) and got[1].peaks[0].t_ms == found[0][0] * 16 and got[1].peaks[0].hz == found[0][1] * 7.8125
+    assert images.decode_png(bytes(got[1].spectrum)).shape[2] == 3 and got[2].peaks is None
+    df = spark.createDataFrame([("abc", "abd"), (None, "x")], "a string, b string")
+    assert [[tuple(x) for x in r[0]] for r in df.select(differences("a", "b")).collect()] == [diff_spans("abc", "abd"), [("added", "x")]]
