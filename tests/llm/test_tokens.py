@@ -73,5 +73,23 @@ def test_other_libraries_get_whole_texts(name):
     assert Counter(path).count(some) == want
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"added": "two words"}, {"added": "|end|", "lstrip": True}, {"added": "|end|"}])
+def test_vocabularies_that_look_across_blanks_get_whole_texts(tmp_path, change):
+    import json
+
+    with open(JSON) as f:
+        told = json.load(f)
+    if "normalizer" in change:
+        told["normalizer"] = change["normalizer"]
+    else:
+        told["added_tokens"].append({"id": 60_000, "content": change["added"], "single_word": False, "lstrip": change.get("lstrip", False), "rstrip": False, "normalized": False, "special": True})
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(told))
+    some = ["Here are two words and |end| more", "A  |end|  B two words", " two", "words"]
+    counter = Counter(str(path))
+    assert bool(counter.splits) == (change == {"added": "|end|"})
+    assert counter.count(some) == [len(Tokenizer.from_file(str(path)).encode(x, add_special_tokens=False)) for x in some]
+
+
 def test_batches_are_balanced():
     assert list(balanced(["aa", "b", "cccc", "d"], 3)) == [["aa", "b"], ["cccc"], ["d"]]
