@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import shutil
 import tempfile
 import threading
 import uuid
@@ -18,6 +19,7 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: executors and the driver need a folder that all of them share")
         shared = tempfile.mkdtemp(prefix="contentprint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
 
@@ -30,19 +32,24 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/contentprint-{uuid.uuid4().hex}"
     if not getattr(_scopes, "open", None):
-        atexit.register(_remove, spark, [path])  # nobody says when it isn't needed any more
+        atexit.register(_remove, *_storage(spark), [path])  # nobody says when it isn't needed any more
     else:
         _scopes.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, paths: list[str]) -> None:
+def _storage(spark: SparkSession) -> tuple:
+    """What removing needs; it outlives the session, which may be stopped before the process ends."""
+    return spark._jvm, spark._jsc.hadoopConfiguration()
+
+
+def _remove(jvm, conf, paths: list[str]) -> None:
     try:
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # noqa: BLE001  the session has ended: what is left is the cluster's to clean
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+    except Exception:  # noqa: BLE001  the JVM has ended: what is left is the cluster's to clean
         return
 
 
@@ -63,11 +70,12 @@ def tidy(f):
             spark = SparkSession.getActiveSession() if out is None else out.sparkSession
             files = out.inputFiles() if own and out is not None else []
             read = {p for p in own if any(p.rpartition("/")[2] in x for x in files)}
-            _remove(spark, [p for p in own if p not in read])
+            if own:
+                _remove(*_storage(spark), [p for p in own if p not in read])
             for p in read:
                 if _scopes.open:
                     _scopes.open[-1].append(p)
                 else:
-                    atexit.register(_remove, spark, [p])
+                    atexit.register(_remove, *_storage(spark), [p])
 
     return run
