@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import functools
-import tempfile
-import threading
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, scratch_dir, tidy
+
+__all__ = ["bound_batches", "cut", "is_unique", "only", "parts", "read", "release", "scratch_dir", "sum_arrays", "tidy"]
+
 try:  # the GNU C library has it, others don't
     _LIBC = ctypes.CDLL(None)
     _LIBC.malloc_trim  # noqa: B018
@@ -27,68 +26,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster. In local mode, where the driver is the only machine, a temporary one is set if none is."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: executors and the driver need a folder that all of them share")
-        shared = tempfile.mkdtemp(prefix="contentprint-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
-
-
-_scopes = threading.local()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: later jobs start there, whichever executors are lost."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/contentprint-{uuid.uuid4().hex}"
-    if not getattr(_scopes, "open", None):
-        atexit.register(_remove, spark, [path])  # nobody says when it isn't needed any more
-    else:
-        _scopes.open[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, paths: list[str]) -> None:
-    try:
-        for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # noqa: BLE001  the session has ended: what is left is the cluster's to clean
-        return
-
-
-def tidy(f):
-    """A function that returns a DataFrame. The tables that it has cut go when it returns, but for those that the DataFrame reads:
-    these go when the tidy function that called it returns and doesn't read them either, or at the end of the session."""
-
-    @functools.wraps(f)
-    def run(*args, **kwargs) -> DataFrame:
-        _scopes.open = getattr(_scopes, "open", [])
-        _scopes.open.append([])
-        out = None
-        try:
-            out = f(*args, **kwargs)
-            return out
-        finally:
-            own = _scopes.open.pop()
-            spark = SparkSession.getActiveSession() if out is None else out.sparkSession
-            files = out.inputFiles() if own and out is not None else []
-            read = {p for p in own if any(p.rpartition("/")[2] in x for x in files)}
-            _remove(spark, [p for p in own if p not in read])
-            for p in read:
-                if _scopes.open:
-                    _scopes.open[-1].append(p)
-                else:
-                    atexit.register(_remove, spark, [p])
-
-    return run
-
-
 def parts(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in order, in slices of about `most_bytes` of a text or binary column, so that a task's Python side holds little at a time."""
     for batch in batches:
