@@ -13,8 +13,8 @@ from contentprint.llm.line_dedup import dedup_lines
 from contentprint.llm.ngram_join import one_of_each
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents of a calibrated probability below this are in no known language.
-LEAST_SCORE = 0.5
+#: Documents whose likeliest language has a calibrated probability below this are in no known language. Short clean texts can be right at 0.4.
+LEAST_SCORE = 0.3
 
 #: Language identification learns from the rows, which SQL can't express.
 ORACLE_SQL = None
@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language that is likelier than all others together, go; the rest get the language found.
+    """Documents without letters, or whose likeliest language isn't LEAST_SCORE likely, go; the rest get the language found.
 
     Null and empty texts have no letters. Null labels aren't learnt from; without any label all rows go. Of equally likely languages
     that which sorts first holds.
