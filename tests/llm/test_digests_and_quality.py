@@ -133,3 +133,56 @@ def test_pseudo_labels_come_from_all_unlabelled_documents(spark, docs):
     assert not few[1] and len(few[0]) == 14
     best = sorted((max(x[0] for x in own) for own in p.values()), reverse=True)[:7]
     assert all(max(x[0] for x in p[i]) >= best[-1] - 1e-9 for i, (y, _) in few[0].items() if y)
+
+
+def brute_features(text, ranks, window):
+    """Windows that rank first in a quarter of the stretches of `window` neighbouring places that reach over them."""
+    n = len(text) - window + 1
+    if n < 1:
+        return []
+    levels = entropy_levels(np.frombuffer(text, np.uint8), window)
+    rank = [int(ranks[x]) if x >= 100 else None for x in levels]
+    first = [0] * n
+    for s in range(-window + 1, n):
+        held = [(rank[i], i) for i in range(max(0, s), min(n, s + window)) if rank[i] is not None]
+        if held:
+            first[min(held)[1]] += 1
+    return [text[i : i + window] for i in range(n) if first[i] >= window // 4]
+
+
+def brute_bits(features):
+    out = []
+    for at in range(0, len(features), 160):
+        bits = set()
+        for f in features[at : at + 160]:
+            h = 0x2545F4914F6CDD1D
+            for j in range(0, len(f), 8):
+                h = (h ^ int.from_bytes(f[j : j + 8], "little")) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            h = (h ^ (h >> 32)) * 0xBF58476D1CE4E5B9 % 2**64
+            h ^= h >> 31
+            bits |= {h >> (11 * j) & 2047 for j in range(5)}
+        out.append(bits)
+    return out
+
+
+def test_digests_and_likeness_equal_brute_force():
+    rng = random.Random(9)
+    ranks = np.random.default_rng(3).permutation(1001)
+    a = prose(rng, 900)
+    texts = [a.encode(), (a[:2500] + prose(rng, 300)).encode(), prose(rng, 40).encode(), (prose(rng, 20) + a[:150]).encode(), b"a" * 300 + prose(rng, 30).encode()]
+    made = Digester(ranks)(texts)
+    bits = []
+    for text, digest in zip(texts, made, strict=True):
+        want = brute_bits(brute_features(text, ranks, 64) + (brute_features(text, ranks, 16) if len(text) < 1024 else []))
+        flat = np.unpackbits(np.frombuffer(digest, np.uint8).reshape(-1, 256), axis=1)
+        assert [set(np.flatnonzero(row).tolist()) for row in flat] == want
+        bits.append(want)
+    for i, x in enumerate(bits):
+        for j, y in enumerate(bits):
+            short, long_ = (x, y) if (len(x), made[i]) <= (len(y), made[j]) else (y, x)
+            total = 0.0
+            for p in short:
+                scores = [min(1, max(0, (len(p & q) - len(p) * len(q) / 2048) / (min(len(p), len(q)) - len(p) * len(q) / 2048))) for q in long_]
+                total += len(p) * max(scores)
+            assert abs(likeness(made[i], made[j]) - total / sum(map(len, short))) < 1e-4

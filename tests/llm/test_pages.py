@@ -162,3 +162,31 @@ def test_many_small_members_and_a_long_page():
     long_ = b"<p>" + b"word " * 2_000_000 + b"</p>"
     assert len(texts_of(record(long_))[0]) == 10_000_000 - 1
     assert time.process_time() - began < 20
+
+
+def test_derivatives_of_the_generated_pages(spark):
+    """The query's rows against records made here from the pages by regular expressions."""
+    from contentprint.llm.queries import op1_warc_derivatives
+
+    d = "/root/testdata/sf0.001"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    got = op1_warc_derivatives(spark, d).collect()
+    assert len(got) == 2 * len(pages)
+    for r in got:
+        page = pages[r.page_id]
+        body = page.html.encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+        assert r.source_digest == sha1(body) and r.target_uri == page.url and r.refers_to.startswith("<urn:uuid:") and r.record_id != r.refers_to
+        own = json.loads(r.headers)
+        assert own["WARC-Refers-To"] == r.refers_to and own["WARC-Source-Payload-Digest"] == sha1(body)
+        if r.warc_type == "conversion":
+            text = re.sub(r"(?s)<head>.*?</head>|<!--.*?-->", "", page.html)
+            parts = re.split(r"</?(?:html|body|nav|ul|li|div|article|h1|p|footer)\b[^>]*>", text)
+            lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts]
+            assert r.text == "\n".join(x for x in lines if x)
+        else:
+            title = " ".join(html.unescape(re.search(r"<title>(.*?)</title>", page.html)[1]).split())
+            links = [html.unescape(x) for x in re.findall(r'<a href="([^"]*)"', page.html)]
+            want = [f"source-record-id: {r.refers_to}", f"source-block-digest: {sha1(block)}", f"source-payload-digest: {sha1(body)}", "source-content-type: application/http; msgtype=response", "http-status: HTTP/1.1 200 OK",
+                    "http-headers: " + json.dumps({"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(body))}), f"title: {title}", f"html-lang: {re.search('lang=.(..)', page.html)[1]}", f"payload-length: {len(body)}", *[f"outlink: {x}" for x in links]]
+            assert r.block_sha256 == hashlib.sha256(("\r\n".join(want) + "\r\n").encode()).hexdigest()
