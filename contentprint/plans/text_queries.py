@@ -120,3 +120,9 @@ def _(spark, d):
 def _(spark, d):
     out = jobs.minhash_sessions(jobs.chunk_stream(spark, d))
     return jobs.drained(out, "update").groupBy("session").agg(F.max_by("fingerprint", "n_chunks").alias("f"), F.max("n_chunks").alias("n_chunks")).select("session", "n_chunks", F.md5("f").alias("fingerprint_md5"))
+
+
+@query("stream_session_sizes", "SELECT CAST(conv_id AS VARCHAR) AS session, CAST(count(*) AS BIGINT) AS n_chunks FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    out = jobs.minhash_sessions(jobs.chunk_stream(spark, d))
+    return jobs.drained(out, "update").groupBy("session").agg(F.max("n_chunks").alias("n_chunks"))
