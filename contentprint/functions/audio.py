@@ -129,7 +129,7 @@ def _rate(name: str, rate: int) -> None:
 
 def bit_error_rate(a: np.ndarray, b: np.ndarray, window: int = 256) -> float:
     """The least share of different bits of a window of one sequence and one of the other, over all windows of either. A window is half of the
-    shorter sequence at most."""
+    shorter sequence at most. The time grows with the product of the lengths."""
     n = min(window, (min(len(a), len(b)) + 1) // 2)
     if not n:
         return 1.0

@@ -34,5 +34,7 @@ def finite(a: Column) -> Column:
 
 
 def subsample(a: Column, most: int) -> Column:
+    """At most `most` values at equal steps; an empty array stays empty."""
     step = F.greatest(F.lit(1.0), F.size(a) / most)
-    return F.transform(F.sequence(F.lit(0), F.least(F.size(a), F.lit(most)) - 1), lambda i: F.get(a, F.floor(i * step).cast("int")))
+    picked = F.transform(F.sequence(F.lit(0), F.greatest(F.least(F.size(a), F.lit(most)) - 1, F.lit(0))), lambda i: F.get(a, F.floor(i * step).cast("int")))
+    return F.when(F.size(a) > 0, picked).otherwise(F.slice(a, 1, 0))

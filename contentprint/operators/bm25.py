@@ -24,6 +24,12 @@ def term_frequencies(records: DataFrame) -> DataFrame:
     return words.groupBy("tenant_id", "record_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_dictionary(records: DataFrame) -> DataFrame:
+    """tenant_id, term in order: every term once, without its postings."""
+    words = records.filter("text IS NOT NULL").select("tenant_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return words.distinct().orderBy("tenant_id", "term")
+
+
 def document_lengths(records: DataFrame) -> DataFrame:
     return tokenized(records).select("tenant_id", "record_id", "dl")
 

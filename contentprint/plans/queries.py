@@ -90,7 +90,7 @@ def _(spark, d):
 
 @query("term_dictionary", f"WITH {TF} SELECT DISTINCT tenant_id, term FROM tf")
 def _(spark, d):
-    return bm25.document_frequencies(T.text_records(spark, d)).select("tenant_id", "term")
+    return bm25.term_dictionary(T.text_records(spark, d))
 
 
 @query("posting_list", f"WITH {TF} SELECT record_id, CAST(tf AS BIGINT) AS tf FROM tf WHERE tenant_id = 1 AND term = 'the'")

@@ -258,3 +258,30 @@ def test_inspection_of_clips_and_differences(spark):
     assert images.decode_png(bytes(got[1].spectrum)).shape[2] == 3 and got[2].peaks is None
     df = spark.createDataFrame([("abc", "abd"), (None, "x")], "a string, b string")
     assert [[tuple(x) for x in r[0]] for r in df.select(differences("a", "b")).collect()] == [diff_spans("abc", "abd"), [("added", "x")]]
+
+
+def test_small_parts(spark, tmp_path):
+    from contentprint.functions import vectors
+    from contentprint.operators import bm25, usage
+
+    (tmp_path / "a.f32").write_bytes(b"\0" * 8)
+    (tmp_path / "b.f32").write_bytes(b"\0" * 6)
+    assert sorted(r.status for r in readers.pcm_files(spark, str(tmp_path)).collect()) == [200, 400]
+    df = spark.createDataFrame([(list(range(10)),), ([1, 2],), ([],)], "v array<int>")
+    assert [r[0] for r in df.select(vectors.subsample(F.col("v"), 4)).collect()] == [[0, 2, 5, 7], [1, 2], []]
+    items = spark.createDataFrame([("x", "text", 1, "a", "done"), ("y", "text", None, "a", "done"), ("z", "text", 3, "a", "failed")], "name string, modality string, record_id long, algorithm string, status string")
+    readers.export_manifest(usage.manifest(items), str(tmp_path / "m"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "m")).select("name", "record_id").collect()] == [("x", 1)]
+    texts = spark.createDataFrame([(1, 1, "b a b"), (1, 2, None), (0, 3, "c A")], "tenant_id long, record_id long, text string")
+    assert [tuple(r) for r in bm25.term_dictionary(texts).collect()] == [(0, "a"), (0, "c"), (1, "a"), (1, "b")]
+
+
+def test_fixed_windows_of_a_stream(spark, tmp_path):
+    rows = [(u, 1_700_000_000 + 17 * i) for i in range(40) for u in (i % 3,)]
+    spark.createDataFrame(rows, "user_id long, at long").select("user_id", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "w"))
+    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(str(tmp_path / "w"))
+    got = {(r.user_id, int(r.w.timestamp())): r.n for r in jobs.drained(jobs.fixed_windows(stream).select("user_id", F.col("window.start").alias("w"), "n"), "complete").collect()}
+    want = {}
+    for u, at in rows:
+        want[u, at // 60 * 60] = want.get((u, at // 60 * 60), 0) + 1
+    assert got == want
