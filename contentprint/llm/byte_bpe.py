@@ -23,7 +23,7 @@ UNSAFE = re.compile(r"\s[ \n]")
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 #: Texts of more characters are halved; shorter ones too, once, if they have two characters or more.
 LEAF_CHARS = 256
-CACHED = 100_000
+CACHED = 150_000
 
 
 class Words(dict):

@@ -13,7 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +82,10 @@ class Scanner:
     def _end(self, at: int) -> int:
         """Where the tag at `at` ends. An angle in a quoted value isn't its end; if a quote leaves no end at all, quotes mean nothing from here on."""
         page, i = self.page, at + 1
+        end = page.find(">", at) + 1
+        tag = page[at:end]
+        if "'" not in tag and tag.count('"') % 2 == 0:  # all quotes are closed before the first angle
+            return end
         while self.quotes and (m := STOP.search(page, i)):
             c, i = m.group(), m.end()
             if c == ">":
@@ -89,7 +93,7 @@ class Scanner:
             if page[max(at, m.start() - 32) : m.start()].rstrip().endswith("="):
                 i = page.find(c, i) + 1 if i <= self.last[c] else i
         self.quotes = False
-        return page.find(">", at) + 1
+        return end
 
     def skip(self, name: str) -> None:
         """Go past the closing tag of an element whose content is left out; past everything if there is none."""
@@ -124,6 +128,17 @@ class Block:
     main: bool
     label: str = ""
 
+    @cached_property
+    def size(self) -> float:
+        """Characters; those of scripts that write a word in one or two count more."""
+        return len(self.text) if self.text.isascii() else len(self.text) + 1.5 * len(WIDE.findall(self.text))
+
+    @cached_property
+    def density(self) -> float:
+        """The share of stop words."""
+        words = WORD.findall(self.text.lower())
+        return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+
 
 @dataclass
 class Furniture:
@@ -149,6 +164,8 @@ class _Page:
     furniture: list[Furniture] = field(default_factory=lambda: [Furniture(0, True, False)])
     parts: list[str] = field(default_factory=list)
     links: int = 0
+    lang: str = ""
+    outlinks: list[str] = field(default_factory=list)
 
     def end(self, top: _Open) -> None:
         text = " ".join("".join(self.parts).split())
@@ -234,6 +251,10 @@ def read_page(page: str) -> _Page:
                 close(len(stack) - 1)
         if name in VOID_TAGS or token.endswith("/>"):
             continue
+        if name == "a" and (m := HREF.search(token)):
+            out.outlinks.append(html.unescape(m[1] or m[2] or m[3] or ""))
+        elif name == "html" and not out.lang and (m := LANG.search(token)):
+            out.lang = m[1]
         top = stack[-1]
         main, bad = top.main or name in ("article", "main"), top.bad
         if main and not top.main:
@@ -250,6 +271,19 @@ def read_page(page: str) -> _Page:
     return out
 
 
+def title_of(page: str) -> str:
+    """What stands in the page's first title."""
+    m = TITLE.search(page)
+    start = page.find(">", m.end()) + 1 if m else 0
+    if not start:
+        return ""
+    end = page.find("<", start)
+    return " ".join(html.unescape(page[start : end if end >= 0 else len(page)]).split())
+
+
+TITLE = re.compile(r"<title(?![\w-])", re.IGNORECASE)
+HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+LANG = re.compile(r"""\blang\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
 HEAD_END = re.compile(r"</head(?![\w-])|(?=<body\b)", re.IGNORECASE)
 
 
@@ -257,24 +291,14 @@ def blocks_of(page: str) -> list[Block]:
     return read_page(page).blocks
 
 
-def _density(text: str) -> float:
-    words = WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
-
-
-def _size(text: str) -> float:
-    """Characters; those of scripts that write a word in one or two count more."""
-    return len(text) + 1.5 * len(WIDE.findall(text))
-
-
 def decide(block: Block, rules: Rules, listed: bool = True) -> str:
     """good, bad, or open. listed: the page's language has stop words here."""
-    size = _size(block.text)
+    size = block.size
     if block.bad or block.links > rules.links * len("".join(block.text.split())):
         return "bad"
     if size < rules.short:
         return "open"
-    density = _density(block.text) if listed else rules.stop_high * bool(WORD.search(block.text))
+    density = block.density if listed else rules.stop_high * bool(WORD.search(block.text))
     if density >= rules.stop_high and size >= rules.long or density >= rules.stop_low and block.main:
         return "good"
     if density >= rules.stop_low or block.main:
@@ -284,9 +308,9 @@ def decide(block: Block, rules: Rules, listed: bool = True) -> str:
 
 def has_stop_words(blocks: list[Block], rules: Rules) -> bool:
     """Whether the page's long blocks, those of its article if it has any, are in a language with a list."""
-    long_ = [b for b in blocks if not b.bad and _size(b.text) >= rules.short]
+    long_ = [b for b in blocks if not b.bad and b.size >= rules.short]
     own = [b for b in long_ if b.main] or long_
-    return not own or max(map(_density, (b.text for b in own))) >= rules.stop_low / 2
+    return not own or any(b.density >= rules.stop_low / 2 for b in own)
 
 
 def label(blocks: list[Block], rules: Rules = Rules()) -> list[Block]:

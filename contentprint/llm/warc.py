@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import html
 import json
 import re
 import uuid
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import only, parts
-from .html_text import NAME, RAW_TAGS, Scanner, blocks_of
+from .html_text import read_page, title_of
 
 VERSION = "WARC/1.1"
 #: Names of records without an id are made from their content under this namespace.
@@ -225,57 +224,28 @@ TEXT_TYPES = frozenset(("application/json", "application/ld+json", "application/
 PAGE_TYPES = frozenset(("", "text/html", "application/xhtml+xml"))
 
 
-def plain_text(page: str, http: dict[str, str]) -> str:
-    """The text of a page, block by block; texts of other types as they are; nothing of what isn't text."""
-    kind = field(http, "Content-Type").split(";")[0].strip().lower()
-    if kind in PAGE_TYPES:
-        return "\n".join(b.text for b in blocks_of(page))
-    return page if kind.startswith("text/") or kind in TEXT_TYPES else ""
-
-
-HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-LANG = re.compile(r"""\blang\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
-
-
-def page_facts(page: str) -> tuple[str, str, list[str]]:
-    """Title, language and outlinks of a page, outside scripts and comments."""
-    title, lang, links, scanner = "", "", [], Scanner(page)
-    for kind, token in scanner:
-        if kind != "tag" or token[1] == "/":
-            continue
-        name = NAME.match(token)[1].lower()
-        if name == "title":
-            start = scanner.at
-            end = page.find("<", start)
-            title = title or " ".join(html.unescape(page[start : end if end >= 0 else len(page)]).split())
-        elif name in RAW_TAGS:
-            scanner.skip(name)
-        elif name == "html" and not lang and (m := LANG.search(token)):
-            lang = m[1]
-        elif name == "a" and (m := HREF.search(token)):
-            links.append(html.unescape(m[1] or m[2] or m[3] or ""))
-    return title, lang, links
-
-
 def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """The metadata record and the conversion record of a response."""
+    """The metadata record and the conversion record of a response: title, language and outlinks of a page and its text block by block, the text of
+    other types as it is, nothing of what isn't text."""
     status, http, body = split_http(block)
     source = field(headers, "WARC-Record-ID") or record_id("response", field(headers, "WARC-Target-URI"), block)
     payload = field(headers, "WARC-Payload-Digest") or digest(body)
     raw = content(body, http)
     page = "" if raw is None else decoded(raw, http)
-    title, lang, links = page_facts(page) if field(http, "Content-Type").split(";")[0].strip().lower() in PAGE_TYPES else ("", "", [])
+    kind = field(http, "Content-Type").split(";")[0].strip().lower()
+    read = read_page(page if kind in PAGE_TYPES else "")
+    text = "\n".join(b.text for b in read.blocks) if kind in PAGE_TYPES else page if kind.startswith("text/") or kind in TEXT_TYPES else ""
     truncated = field(headers, "WARC-Truncated")
     facts = {
         "source-record-id": source, "source-block-digest": field(headers, "WARC-Block-Digest") or digest(block), "source-payload-digest": payload,
         "source-content-type": field(headers, "Content-Type"), "source-truncated": truncated, "http-status": status, "http-headers": json.dumps(http, ensure_ascii=False),
-        "coding-not-undone": field(http, "Content-Encoding") if raw is None else "", "title": title, "html-lang": lang, "payload-length": str(len(body)),
+        "coding-not-undone": field(http, "Content-Encoding") if raw is None else "", "title": title_of(page) if kind in PAGE_TYPES else "", "html-lang": read.lang, "payload-length": str(len(body)),
     }
-    lines = [f"{k}: {v}" for k, v in facts.items() if v] + [f"outlink: {x}" for x in links]
+    lines = [f"{k}: {v}" for k, v in facts.items() if v] + [f"outlink: {x}" for x in read.outlinks]
     shared = {"WARC-Refers-To": source, "WARC-Target-URI": field(headers, "WARC-Target-URI"), "WARC-Date": field(headers, "WARC-Date") or UNDATED, "WARC-IP-Address": field(headers, "WARC-IP-Address"), "WARC-Warcinfo-ID": field(headers, "WARC-Warcinfo-ID"), "WARC-Truncated": truncated}
     out = []
-    for kind, mime, made in (("metadata", "application/warc-fields", ("\r\n".join(re.sub(r"[\r\n]+", " ", x) for x in lines) + "\r\n").encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", plain_text(page, http).encode("utf-8", "replace"))):
-        fields = {"WARC-Type": kind, "WARC-Record-ID": record_id(kind, source, made), **shared, "WARC-Source-Payload-Digest": payload, "Content-Type": mime}
+    for name, mime, made in (("metadata", "application/warc-fields", ("\r\n".join(re.sub(r"[\r\n]+", " ", x) for x in lines) + "\r\n").encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
+        fields = {"WARC-Type": name, "WARC-Record-ID": record_id(name, source, made), **shared, "WARC-Source-Payload-Digest": payload, "Content-Type": mime}
         out.append((headers_of(fields, made), made))
     return out
 
