@@ -51,7 +51,8 @@ def peaks(samples: np.ndarray, p: Landmarks = WANG, top: float = 0.0) -> np.ndar
     most = max(top, m.max() if m.size else 0.0)
     db = 20 * np.log10(np.maximum(m / most, 1e-9)) if most > 0 else np.full(m.shape, -120.0)
     padded = np.pad(m, 2, constant_values=-1)
-    around = np.lib.stride_tricks.sliding_window_view(padded, (5, 5)).max(axis=(2, 3))
+    rows = np.maximum.reduce([padded[i : i + len(m)] for i in range(5)])  # the largest of five by five, first over frames, then over bins
+    around = np.maximum.reduce([rows[:, i : i + m.shape[1]] for i in range(5)])
     t, f = np.nonzero((m >= around) & (db > p.floor_db) & (m > 0))
     order = np.lexsort((f, t, -m[t, f]))
     second = (t[order] / FRAMES_A_SECOND).astype(int)

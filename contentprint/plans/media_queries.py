@@ -32,7 +32,9 @@ def _made(spark, d, make):
     def run(ids: pd.Series) -> pd.Series:
         return ids.map(lambda i: make(int(i)))
 
-    return T.read(spark, d, "pages").select(F.col("page_id").alias("record_id"), run("page_id").alias("content"))
+    # ids are few bytes and the work on each is much: they are dealt to all cores, whatever the table's files
+    ids = T.read(spark, d, "pages").select("page_id").repartition(spark.sparkContext.defaultParallelism, "page_id")
+    return ids.select(F.col("page_id").alias("record_id"), run("page_id").alias("content"))
 
 
 @query("image_multihash")
