@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..errors import BadInputError
 from ..functions import audio, images
-from ..functions.documents import spectrum_png
+from ..functions.documents import pooled, spectrum_png
+from ..session import bound_batches
 from .kernels import EmbeddingProvider, embed
 
 
@@ -60,6 +61,10 @@ def image_compare(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("likeness", run("fa", "fb"))
 
 
+#: Clips whose results leave a worker together.
+CLIPS = 16
+
+
 def landmarks(clips: DataFrame, algorithm: str = "wang") -> DataFrame:
     """record_id, hash, t of clips (record_id, content: PCM at the algorithm's rate). Clips that can't be read have none."""
     make = audio.wang if algorithm == "wang" else audio.panako
@@ -121,21 +126,23 @@ def audio_inspect(clips: DataFrame, rate: int = 8000) -> DataFrame:
     def one(data: bytes) -> dict:
         samples = audio.pcm(data)
         made = audio.inspect(samples, rate)
+        whole = pooled(made["spectrum"].T[::-1], 128, 512)[::-1].T  # as few values as the picture has
         place = lambda t, f: (audio.frame_ms(t, rate), audio.bin_hz(f, rate))
         made["peaks"] = [dict(zip(("t_ms", "hz"), place(t, f), strict=True)) for t, f in made["peaks"]]
         made["pairs"] = [dict(zip(("t_ms", "hz", "to_ms", "to_hz"), place(t, f) + place(u, g), strict=True)) for t, f, u, g in made["pairs"]]
-        return made | {"spectrum": spectrum_png(audio.decibel(audio.spectrum(samples)))}
+        return made | {"spectrum": spectrum_png(audio.decibel(whole))}
 
     f = _or_null(one)
+    bound_batches(clips.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         point = [("t_ms", pa.float64()), ("hz", pa.float64())]
         line = [*point, ("to_ms", pa.float64()), ("to_hz", pa.float64())]
         kinds = {"n_samples": pa.int64(), "seconds": pa.float64(), "envelope": pa.list_(pa.float64()), "frames": pa.int32(), "peaks": pa.list_(pa.struct(point)), "n_peaks": pa.int32(), "pairs": pa.list_(pa.struct(line)), "n_pairs": pa.int32(), "n_hashes": pa.int32(), "spectrum": pa.binary()}
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):  # pictures are large: few at a time
-                part = batch.slice(i, 64)
-                made = [f(x) or {} for x in part["content"].to_pylist()]
+            for i in range(0, batch.num_rows, CLIPS):  # clips and pictures are large: few at a time
+                part = batch.slice(i, CLIPS)
+                made = [f(x.as_py()) or {} for x in part["content"]]
                 yield pa.record_batch({"record_id": part["record_id"], **{k: pa.array([m.get(k) for m in made], t) for k, t in kinds.items()}})
 
     return clips.select("record_id", "content").mapInArrow(run, f"record_id long, {INSPECTED}")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import images
 from ..operators import media
 from ..scratch import cut, tidy
+from ..session import bound_batches
 from ..sources import tables as T
 from .queries import query, rounded
 
@@ -21,20 +25,28 @@ def picture(i: int) -> bytes:
 
 def clip(i: int) -> bytes:
     """Two seconds of a chirp; odd ids have that of the even id before them, a quarter of a second later."""
-    t = np.arange(16000) / 8000 - (0.256 if i % 2 else 0)
-    base = 300 + 37 * (i // 2 % 40)
+    return _chirp(i // 2 % 40, i % 2)
+
+
+@functools.lru_cache(80)
+def _chirp(pitch: int, late: int) -> bytes:
+    t = np.arange(16000) / 8000 - (0.256 if late else 0)
+    base = 300 + 37 * pitch
     x = sum(0.3 * np.sin(2 * np.pi * (base * k * t + 150 * k * t * t)) * (np.sin(2 * np.pi * (k + 2) * t) > 0) for k in (1, 2, 3))
     return np.where(t >= 0, x, 0).astype("<f4").tobytes()
 
 
 def _made(spark, d, make):
-    @F.pandas_udf("binary")
-    def run(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda i: make(int(i)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, media.CLIPS):  # an id is a few bytes, what is made of it 64 KB: few at a time
+                ids = batch["page_id"].slice(i, media.CLIPS)
+                yield pa.record_batch({"record_id": ids, "content": pa.array([None if x is None else make(x) for x in ids.to_pylist()], pa.binary())})
 
+    bound_batches(spark)
     # ids are few bytes and the work on each is much: they are dealt to all cores, whatever the table's files
     ids = T.read(spark, d, "pages").select("page_id").repartition(spark.sparkContext.defaultParallelism, "page_id")
-    return ids.select(F.col("page_id").alias("record_id"), run("page_id").alias("content"))
+    return ids.mapInArrow(run, "record_id long, content binary")
 
 
 @query("image_multihash")

@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +286,35 @@ def test_fixed_windows_of_a_stream(spark, tmp_path):
     for u, at in rows:
         want[u, at // 60 * 60] = want.get((u, at // 60 * 60), 0) + 1
     assert got == want
+
+
+def test_made_clips_come_few_at_a_time(spark, tmp_path):
+    from contentprint.plans import media_queries
+
+    spark.range(600).select(F.col("id").alias("page_id")).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [batch.num_rows], "b": [batch.nbytes], "ids": [batch["record_id"].to_pylist()]})
+
+    got = media_queries._made(spark, str(tmp_path), media_queries.clip).mapInArrow(sizes, "n long, b long, ids array<long>").collect()
+    assert sorted(i for r in got for i in r.ids) == list(range(600)) and max(r.b for r in got) < 6 << 20
+
+
+def test_inspection_shows_what_the_parts_give(spark):
+    from contentprint.functions.documents import spectrum_png
+
+    rng = np.random.default_rng(8)
+    made = {1: tone(3), 2: rng.normal(size=9000).astype("<f4"), 3: np.zeros(3000, "<f4"), 4: np.zeros(0, "<f4"), 5: np.full(2000, np.nan, "<f4")}
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    clips = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in made.items()], "record_id long, content binary")
+    got = {r.record_id: r for r in media.audio_inspect(clips).collect()}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+    for i, x in made.items():
+        x = audio.pcm(x.tobytes())
+        assert (got[i].n_hashes, got[i].n_peaks) == (len(audio.wang(x)), len(audio.peaks(x))) and got[i].frames == len(audio.spectrum(x, hop=256))
+        assert bytes(got[i].spectrum) == spectrum_png(audio.decibel(audio.spectrum(x)))
+    edges = np.linspace(0, 9000, 257).astype(int)
+    assert got[2].envelope == [float(np.abs(made[2][a:b].astype(float)).max()) for a, b in zip(edges, edges[1:])]
+    assert got[5].n_peaks == 0 and got[4].envelope == [0.0] * 256
