@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,18 +66,36 @@ def image_compare(pairs: DataFrame) -> DataFrame:
 CLIPS = 16
 
 
-def landmarks(clips: DataFrame, algorithm: str = "wang") -> DataFrame:
-    """record_id, hash, t of clips (record_id, content: PCM at the algorithm's rate). Clips that can't be read have none."""
+def landmark_sets(clips: DataFrame, algorithm: str = "wang") -> DataFrame:
+    """record_id, marks (arrays hash, t) and their digest of clips (record_id, content: PCM at the algorithm's rate), a row a clip.
+    Clips that can't be read have no marks. Clips of the same marks have the same digest."""
+    bound_batches(clips.sparkSession)
     make = audio.wang if algorithm == "wang" else audio.panako
-    f = _or_null(lambda d: [(int(x[0]), int(x[1])) for x in make(audio.pcm(d))])
+    f = _or_null(lambda d: np.array([x[:2] for x in make(audio.pcm(d))], np.int64).reshape(-1, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in zip(batch["record_id"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                own = f(data) or []
-                yield pa.record_batch({"record_id": pa.array([i] * len(own), pa.int64()), "hash": pa.array([a for a, _ in own], pa.int64()), "t": pa.array([b for _, b in own], pa.int32())})
+            for i in range(0, batch.num_rows, CLIPS):
+                part = batch.slice(i, CLIPS)
+                own = [np.empty((0, 2), np.int64) if m is None else m for m in (f(x.as_py()) for x in part["content"])]
+                ends, all_ = np.cumsum([0, *map(len, own)]).astype(np.int32), np.concatenate(own)
+                digests = [hashlib.sha256(m[np.lexsort(m.T)].tobytes()).digest() for m in own]
+                yield pa.record_batch({
+                    "record_id": part["record_id"], "digest": pa.array(digests, pa.binary()),
+                    "hashes": pa.ListArray.from_arrays(ends, pa.array(all_[:, 0])), "times": pa.ListArray.from_arrays(ends, pa.array(all_[:, 1].astype(np.int32))),
+                })
+
+    return clips.select("record_id", "content").mapInArrow(run, "record_id long, digest binary, hashes array<long>, times array<int>")
 
-    return clips.select("record_id", "content").mapInArrow(run, "record_id long, hash long, t int")
+
+def exploded(sets: DataFrame) -> DataFrame:
+    """record_id, hash, t of landmark_sets."""
+    return sets.select("record_id", F.explode(F.arrays_zip("hashes", "times")).alias("m")).select("record_id", F.col("m.hashes").alias("hash"), F.col("m.times").alias("t"))
+
+
+def landmarks(clips: DataFrame, algorithm: str = "wang") -> DataFrame:
+    """record_id, hash, t of clips (record_id, content: PCM at the algorithm's rate). Clips that can't be read have none."""
+    return exploded(landmark_sets(clips, algorithm))
 
 
 def landmark_matches(queries: DataFrame, index: DataFrame, least: int = 1, k: int | None = None, salts: int = 16) -> DataFrame:

@@ -84,7 +84,8 @@ def _wang_matches(spark, d):
 
 @query("audio_panako")
 def _(spark, d):
-    return media.landmarks(_made(spark, d, clip), "panako").groupBy("record_id").agg(F.count(F.lit(1)).alias("n_hashes"))
+    found = media.landmark_sets(_made(spark, d, clip), "panako").filter(F.size("hashes") > 0)
+    return found.groupBy("record_id").agg(F.sum(F.size("hashes")).alias("n_hashes"))
 
 
 @query("audio_haitsma_compare")

@@ -318,3 +318,17 @@ def test_inspection_shows_what_the_parts_give(spark):
     edges = np.linspace(0, 9000, 257).astype(int)
     assert got[2].envelope == [float(np.abs(made[2][a:b].astype(float)).max()) for a, b in zip(edges, edges[1:])]
     assert got[5].n_peaks == 0 and got[4].envelope == [0.0] * 256
+
+
+def test_marks_of_clips_are_one_row_a_clip(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    made = [tone(2), np.random.default_rng(9).normal(size=12000).astype("<f4"), np.zeros(4000, "<f4")]
+    rows = [(i, bytearray(made[i % 3].tobytes())) for i in range(40)] + [(40, bytearray(b"abc")), (41, None)]
+    clips = spark.createDataFrame(rows, "record_id long, content binary")
+    for name, f in (("wang", audio.wang), ("panako", audio.panako)):
+        want = [[tuple(x[:2]) for x in f(audio.pcm(m.tobytes()))] for m in made]
+        got = {r.record_id: r for r in media.landmark_sets(clips, name).collect()}
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+        assert all(list(zip(got[i].hashes, got[i].times)) == want[i % 3] for i in range(40)) and got[40].hashes == got[41].hashes == []
+        assert len({bytes(r.digest) for r in got.values()}) == 3
+        assert media.landmarks(clips, name).count() == sum(len(want[i % 3]) for i in range(40))
