@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import BadInputError
 from ..functions import audio, images
 from ..functions.documents import pooled, spectrum_png
+from ..scratch import cut
 from ..session import bound_batches
 from .kernels import EmbeddingProvider, embed
 
@@ -117,6 +118,33 @@ def landmark_matches(queries: DataFrame, index: DataFrame, least: int = 1, k: in
     return found.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("r")
 
 
+def landmark_set_matches(queries: DataFrame, index: DataFrame, k: int, least: int = 1, salts: int = 16) -> DataFrame:
+    """What landmark_matches gives with k, of landmark_sets that the caller has written once, a row a record. Records of the same marks have the
+    same votes: one of each stands for all on both sides, and its k smallest ids take their places in the rankings.
+
+    The k best records of a query lie in its k best classes by votes and smallest id, as each class before another has at least one record that
+    comes before all of the other's.
+    """
+
+    def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = sets.filter(F.size("hashes") > 0)
+        first = cut(own.groupBy("digest").agg(F.min("record_id").alias("record_id")))  # its size is known to the planner then
+        return own, own.join(first.select("record_id"), "record_id", "left_semi")
+
+    (asked, asking), (own, standing) = classes(queries), classes(index)
+    found = cut(landmark_matches(exploded(asking), exploded(standing), least, k, salts))
+    of_class = own.select("digest", F.col("record_id").alias("member"))
+    place = Window.partitionBy("digest").orderBy("member")
+    members = of_class.withColumn("i", F.row_number().over(place)).filter(F.col("i") <= k).drop("i")
+    members = cut(members.withColumn("record_id", F.min("member").over(Window.partitionBy("digest"))).select("record_id", "member"))
+    first = Window.partitionBy("qid").orderBy(F.desc("votes"), "record_id")
+    best = found.join(members, "record_id").select("qid", F.col("member").alias("record_id"), "votes", "offset")
+    best = best.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("r")
+    digests = asking.select(F.col("record_id").alias("qid"), "digest")
+    best = cut(best.join(digests, "qid").drop("qid"))
+    return asked.select(F.col("record_id").alias("qid"), "digest").join(best, "digest").select("qid", "record_id", "votes", "offset")
+
+
 def haitsma(clips: DataFrame, rate: int) -> DataFrame:
     f = _or_null(lambda d: audio.haitsma(audio.pcm(d), rate).astype("<u4").tobytes())
 

@@ -78,8 +78,8 @@ def _(spark, d):
 
 @tidy
 def _wang_matches(spark, d):
-    found = cut(media.landmarks(_made(spark, d, clip)))
-    return media.landmark_matches(found.filter("record_id % 100 = 0"), found, least=5, k=10)
+    found = cut(media.landmark_sets(_made(spark, d, clip)))
+    return media.landmark_set_matches(found.filter("record_id % 100 = 0"), found, k=10, least=5)
 
 
 @query("audio_panako")

@@ -332,3 +332,15 @@ def test_marks_of_clips_are_one_row_a_clip(spark):
         assert all(list(zip(got[i].hashes, got[i].times)) == want[i % 3] for i in range(40)) and got[40].hashes == got[41].hashes == []
         assert len({bytes(r.digest) for r in got.values()}) == 3
         assert media.landmarks(clips, name).count() == sum(len(want[i % 3]) for i in range(40))
+
+
+def test_copies_of_clips_take_their_places(spark):
+    rng = np.random.default_rng(10)
+    kinds = [[(int(h), int(t)) for h, t in zip(rng.integers(0, 6, 8), rng.integers(0, 5, 8))] for _ in range(9)] + [[]]
+    rows = [(int(i), bytes([k]), [h for h, _ in kinds[k]], [t for _, t in kinds[k]]) for i, k in zip(rng.permutation(120), rng.integers(0, 10, 120))]
+    sets = spark.createDataFrame(rows, "record_id long, digest binary, hashes array<long>, times array<int>").cache()
+    for k, least in ((1, 1), (4, 3), (25, 1)):
+        asked = sets.filter("record_id % 7 = 0")
+        want = media.landmark_matches(media.exploded(asked), media.exploded(sets), least, k)
+        got = media.landmark_set_matches(asked, sets, k, least)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
